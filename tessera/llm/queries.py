@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, simhash
+from tessera.llm import decontaminate, licenses, mixing, passages, quality, sharding, simhash, toxicity, urls
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,38 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.drop("offsets")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op6_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_license_scan, op4_toxicity, op5_kd_shards, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op10_passage_dedup)}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE, "op8_url_filter": urls.ORACLE}
