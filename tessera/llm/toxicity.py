@@ -12,20 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a window, and from one window's start to the next; windows overlap by the difference.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 28
 #: Buckets of hashed words and of hashed character triples, and the sizes of inputs and states.
-WORD_BUCKETS, CHAR_BUCKETS, INPUT, STATE = 1 << 15, 1 << 12, 16, 16
+WORD_BUCKETS, CHAR_BUCKETS, INPUT, STATE = 1 << 15, 1 << 12, 16, 8
 #: The network is fitted on at most so many documents of each label, and so many windows of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 24
 EPOCHS, BATCH, RATE = 4, 256, 4e-3
 THRESHOLD = 0.3
-#: Windows scored together, and words whose inputs a worker keeps.
-GROUP, KEPT_WORDS = 4096, 100_000
+#: Windows scored together, and words whose inputs are computed together.
+GROUP, KEPT_WORDS = 1024, 20_000
+
+
+#: Punctuation counts as space.
+_SPACED = bytes.maketrans(b".,;:!?\"()*#%$&|<>", b" " * 17)
 
 
 def split_words(text: str | None) -> list[bytes]:
-    """Lower-case words without the punctuation around them; at least one word, empty for an empty text."""
-    return [w.strip(b".,;:!?\"'()*#%$&|<>") for w in text.lower().encode("utf-8", "replace").split()] if text and not text.isspace() else [b""]
+    """Lower-case words without punctuation; at least one word, empty for an empty text."""
+    return (text.lower().encode("utf-8", "replace").translate(_SPACED).split() if text else None) or [b""]
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,13 +267,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     return fit(sorted((place[r.doc], r.toxic, bytes(r.words).split(b" ")) for r in rows), share)
 
 
-def score_texts(model: Model, texts: Iterator[str | None], known: dict[bytes, int]) -> np.ndarray:
-    """Scores of whole texts; known numbers the words of one call."""
+def score_texts(model: Model, texts: Iterator[str | None]) -> np.ndarray:
+    """Scores of whole texts."""
+    known = _Numbers()
     starts, ends, owner, flat, n = [], [], [], [], 0
     count = 0
     for k, text in enumerate(texts):
         words = split_words(text)
-        flat.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        flat.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         s = windows_of(len(words))
         starts.append(n + s)
         ends.append(np.full(len(s), n + len(words)))
@@ -289,9 +302,9 @@ def _score_column(model, texts: pd.Series) -> np.ndarray:
         group.append(t)
         size += len(t) if t else 0
         if size > 2_000_000:
-            out.append(score_texts(model, iter(group), {}))
+            out.append(score_texts(model, iter(group)))
             group, size = [], 0
-    return np.concatenate([*out, score_texts(model, iter(group), {})])
+    return np.concatenate([*out, score_texts(model, iter(group))])
 
 
 def _score(broadcast):
