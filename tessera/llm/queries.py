@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, licenses, mixing, passages, quality, sharding, simhash, toxicity, urls
+from tessera.llm import decontaminate, licenses, mixing, passages, quality, sharding, simhash, tokens, toxicity, urls
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +45,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_license_scan, op4_toxicity, op5_kd_shards, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op10_passage_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_license_scan, op4_toxicity, op5_kd_shards, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_token_blocks, op10_passage_dedup)}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE, "op8_url_filter": urls.ORACLE}
