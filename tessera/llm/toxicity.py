@@ -18,6 +18,8 @@ WORD_BUCKETS, CHAR_BUCKETS, INPUT, STATE = 1 << 15, 1 << 12, 16, 8
 #: The network is fitted on at most so many documents of each label, and so many windows of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 24
 EPOCHS, BATCH, RATE = 4, 256, 4e-3
+#: A small sample is passed over more often, until the network has been updated so often.
+LEAST_UPDATES = 300
 THRESHOLD = 0.3
 #: Windows scored together, and words whose inputs are computed together.
 GROUP, KEPT_WORDS = 1024, 20_000
@@ -207,7 +209,8 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
     one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     held = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in doc])
     train, step = np.flatnonzero(~held), 0
-    for _ in range(epochs):
+    per_epoch = max(1, -(-len(train) // BATCH))
+    for _ in range(max(epochs, -(-LEAST_UPDATES // per_epoch))):
         order = rng.permutation(train)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
