@@ -88,20 +88,20 @@ def _suffixes(least: int, first: int):
 
 
 def _candidates(least: int, first: int):
-    """Passages of ``least`` words that hold a repeated suffix among their first places: row, start, hash."""
+    """Passages of ``least`` words that hold a repeated suffix among their first places: row, doc_id, start, hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, starts, keys = [], [], []
-            for row, body, places in zip(pdf["row"], pdf["body"], pdf["places"], strict=True):
+            for k, (body, places) in enumerate(zip(pdf["body"], pdf["places"], strict=True)):
                 passage = gram_hashes(word_hashes(body.split()), least)
                 at = np.unique((np.asarray(places, np.int64)[:, None] - np.arange(first)).ravel())
                 at = at[(at >= 0) & (at < len(passage))]
-                rows.append(np.full(len(at), row))
+                rows.append(np.full(len(at), k))
                 starts.append(at)
                 keys.append(passage[at].view(np.int64))
             if rows:
-                yield pd.DataFrame({"row": np.concatenate(rows), "start": np.concatenate(starts).astype(np.int32), "key": np.concatenate(keys)})
+                yield pdf[["row", "doc_id"]].iloc[np.concatenate(rows)].assign(start=np.concatenate(starts).astype(np.int32), key=np.concatenate(keys))
 
     return run
 
@@ -124,11 +124,10 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, first: int = FIRS
     kept = materialise(texts.select("row", "body").mapInPandas(_suffixes(least, first), "row long, place int, key long"), "suffixes")
     twice = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = kept.join(twice, "key", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
-    around = texts.select("row", "body").join(near, "row")
-    passages = materialise(around.mapInPandas(_candidates(least, first), "row long, start int, key long"), "passages")
-    # Copies are counted once for each text's row; the smallest id names the first holder.
-    names = passages.join(texts.select("row", "doc_id"), "row")
-    holders = names.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").select("key", "first_doc_id")
+    around = texts.join(near, "row")
+    passages = materialise(around.mapInPandas(_candidates(least, first), f"row long, doc_id {kind}, start int, key long"), "passages")
+    # The smallest id names the first holder.
+    holders = passages.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").select("key", "first_doc_id")
     hits = passages.join(holders, "key").select("row", "start", "first_doc_id")
     w = Window.partitionBy("row").orderBy("start")
     gap = (F.col("start") > F.lag("start").over(w) + least).cast("int")
