@@ -109,7 +109,7 @@ def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     lists = first.select("query_id", "id", F.col("rank").alias("r1"), F.lit(None).cast("long").alias("r2")).unionByName(second.select("query_id", "id", F.lit(None).cast("long").alias("r1"), F.col("rank").alias("r2")))
     per_id = lists.groupBy("query_id", "id").agg(F.min("r1").alias("r1"), F.min("r2").alias("r2"))
     gain = sum((F.coalesce(1 / (RRF_K + F.col(r)), F.lit(0.0)) for r in ("r1", "r2")), F.lit(0.0))
-    best = ranked(per_id.withColumn("raw", gain), k, F.desc("raw"), F.asc_nulls_last("r1"), F.asc_nulls_last("r2"))
+    best = ranked(per_id.withColumn("raw", F.round(gain, 12)), k, F.desc("raw"), F.asc_nulls_last("r1"), F.asc_nulls_last("r2"))
     return best.select("query_id", "id", "rank", F.round(F.col("raw") * (RRF_K + 1) / 2, 6).alias("score"))
 
 

@@ -159,7 +159,7 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH " + near_sql("q.vec_id IN (SELECT item_id FROM benchmark)", 50) + ", " + keyword_sql(50) + ", both_ AS (SELECT query_id, id, rank AS r1, NULL AS r2 FROM hits UNION ALL SELECT query_id, id, NULL, rank FROM kwr), "
-    "f AS (SELECT query_id, id, min(r1) AS r1, min(r2) AS r2 FROM both_ GROUP BY query_id, id), g AS (SELECT *, coalesce(1 / (60 + r1), 0.0::DOUBLE) + coalesce(1 / (60 + r2), 0.0::DOUBLE) AS raw FROM f) "
+    "f AS (SELECT query_id, id, min(r1) AS r1, min(r2) AS r2 FROM both_ GROUP BY query_id, id), g AS (SELECT *, round(coalesce(1 / (60 + r1), 0.0::DOUBLE) + coalesce(1 / (60 + r2), 0.0::DOUBLE), 12) AS raw FROM f) "
     "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, r1 NULLS LAST, r2 NULLS LAST) AS rank, round(raw * 61 / 2, 6) AS score FROM g QUALIFY rank <= 10"
 )
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
