@@ -33,7 +33,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     that is already written.
     """
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
