@@ -230,10 +230,20 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
     weight = np.where(label == 1, share / max(label.mean(), 1e-9), (1 - share) / max(1 - label.mean(), 1e-9))
     design = np.c_[highest, np.ones(len(docs))]
     line = np.array([0.5, -1.0])
+    prior = line.copy()
+
+    def cost(line: np.ndarray) -> float:
+        z = design @ line
+        return float((weight * (np.logaddexp(0, z) - label * z)).sum() + 0.05 * ((line - prior) ** 2).sum())
+
+    # Newton steps, halved until the loss falls: whole steps can run away where few rows are undecided.
     for _ in range(50):
-        prob = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
+        prob = _sigmoid(design @ line)
         hess = (design * (weight * prob * (1 - prob))[:, None]).T @ design + 0.1 * np.eye(2)
-        line -= np.linalg.solve(hess, design.T @ (weight * (prob - label)) + 0.1 * (line - [0.5, -1.0]))
+        step_by = np.linalg.solve(hess, design.T @ (weight * (prob - label)) + 0.1 * (line - prior))
+        while cost(line - step_by) > cost(line) and np.abs(step_by).max() > 1e-9:
+            step_by = step_by / 2
+        line = line - step_by
     return Model(p, float(max(line[0], 1e-3)), float(line[1]))
 
 
