@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import materialise, table
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.mixing import sample_mix
+from tessera.llm.near_copies import drop_near_copies
 from tessera.llm.sharding import shard_documents
-from tessera.llm.simhash import drop_near_duplicates
 from tessera.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,13 +167,13 @@ def plan_probes(distinct: DataFrame, distance: int = DISTANCE) -> list[int]:
     return min(plans)[2]
 
 
-def _refine(mask: int) -> list[int]:
-    """Masks with more bits: pairs within DISTANCE that agree under mask agree under at least one of them."""
+def _refine(mask: int, distance: int) -> list[int]:
+    """Masks with more bits: pairs within the distance that agree under mask agree under at least one of them."""
     rest = [b for b in range(BITS) if not mask >> (BITS - 1 - b) & 1]
-    return [mask | _mask(rest[k :: DISTANCE + 1]) for k in range(DISTANCE + 1)]
+    return [mask | _mask(rest[k :: distance + 1]) for k in range(distance + 1)]
 
 
-def _buckets(distinct: DataFrame, masks: list[int]) -> DataFrame:
+def _buckets(distinct: DataFrame, masks: list[int], distance: int = DISTANCE) -> DataFrame:
     """Rows (mask, key, fp): each fingerprint once for each mask, buckets bounded by MAX_BUCKET.
 
     A larger bucket is divided by more bits, in a way that keeps every pair
@@ -191,7 +191,7 @@ def _buckets(distinct: DataFrame, masks: list[int]) -> DataFrame:
             break
         done.append(rows.join(full, ["mask", "key"], "left_anti"))
         hot = rows.join(full, ["mask", "key"], "left_semi")
-        finer = {m: _refine(m) for m in over}
+        finer = {m: _refine(m, distance) for m in over}
         choice = F.coalesce(*[F.when(F.col("mask") == _signed(m), F.array(*[F.lit(_signed(x)) for x in xs])) for m, xs in finer.items()])
         rows = materialise(hot.select(F.explode(choice).alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct(), "divided")
     out = done[0]
@@ -258,7 +258,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Buckets are compared inside a task, in numpy; a task puts out a spanning
     forest of what it verified, at most one link for each row that it read.
     """
-    rows = _buckets(distinct, plan_probes(distinct, distance))
+    rows = _buckets(distinct, plan_probes(distinct, distance), distance)
     n = n_partitions(distinct.sparkSession)
     dealt = rows.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInPandas(_verify(distance), "a long, b long")
