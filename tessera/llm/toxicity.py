@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialise
+
 #: Words of a window, and from one window's start to the next; windows overlap by the difference.
 WINDOW, STRIDE = 32, 28
 #: Buckets of hashed words and of hashed character triples, and the sizes of inputs and states.
@@ -193,8 +195,8 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
 
     Four fifths of the documents train the network on windows with their document's
     label, Adam, balanced classes. The others, whose windows the network
-    hasn't seen, give the line to log odds, weighted to the share. With one
-    label only, every score is the share.
+    hasn't seen, are left to ``calibrate``. With one label only, every score is
+    the share.
     """
     if len({y for _, y, _ in rows}) < 2:
         return Model(None, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
@@ -207,7 +209,7 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
     words, doc, y = list(numbers), np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32)
     p, rng = initial(seed), np.random.default_rng(seed)
     one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    held = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in doc])
+    held = np.array([in_calibration(d) for d in doc])
     train, step = np.flatnonzero(~held), 0
     per_epoch = max(1, -(-len(train) // BATCH))
     for _ in range(max(epochs, -(-LEAST_UPDATES // per_epoch))):
@@ -220,15 +222,18 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
                 one[k] += np.float32(0.1) * (v - one[k])
                 two[k] += np.float32(0.001) * (v * v - two[k])
                 p[k] -= np.float32(RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)) * one[k] / (np.sqrt(two[k]) + np.float32(1e-7))
-    projected = project(p, word_inputs(p, words))
-    check = np.flatnonzero(held) if len(set(y[held])) == 2 else np.arange(len(rows))
-    scores = np.concatenate([logits(p, projected, ids[part], mask[part]) for part in np.array_split(check, max(1, len(check) // GROUP))])
-    docs, back = np.unique(doc[check], return_inverse=True)
-    highest, label = np.full(len(docs), -np.inf), np.zeros(len(docs))
-    np.maximum.at(highest, back, scores)
-    label[back] = y[check]
+    return Model(p)
+
+
+def in_calibration(doc: int) -> bool:
+    """Whether a document, by its number, gives the line and not the network."""
+    return zlib.crc32(str(doc).encode()) % 5 == 0
+
+
+def calibrate(params: dict[str, np.ndarray], highest: np.ndarray, label: np.ndarray, share: float) -> Model:
+    """The network with the line from highest logits of whole texts to log odds, weighted to the share of label 1."""
     weight = np.where(label == 1, share / max(label.mean(), 1e-9), (1 - share) / max(1 - label.mean(), 1e-9))
-    design = np.c_[highest, np.ones(len(docs))]
+    design = np.c_[highest, np.ones(len(highest))]
     line = np.array([0.5, -1.0])
     prior = line.copy()
 
@@ -244,7 +249,7 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
         while cost(line - step_by) > cost(line) and np.abs(step_by).max() > 1e-9:
             step_by = step_by / 2
         line = line - step_by
-    return Model(p, float(max(line[0], 1e-3)), float(line[1]))
+    return Model(params, float(max(line[0], 1e-3)), float(line[1]))
 
 
 def held_out():
@@ -273,15 +278,34 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         part = usable.where(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
         chosen = part if chosen is None else chosen.union(part)
     # At most twice sample_docs rows of two numbers, so the broadcast is bounded.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
     rows = texts.mapInPandas(_sample_windows, "doc string, toxic int, words binary").collect()
     names = sorted({r.doc for r in rows})
     place = {d: k for k, d in enumerate(names)}
-    return fit(sorted((place[r.doc], r.toxic, bytes(r.words).split(b" ")) for r in rows), share)
+    model = fit(sorted((place[r.doc], r.toxic, bytes(r.words).split(b" ")) for r in rows), share)
+    if model.params is None:
+        return model
+    held = {r.doc: r.toxic for r in rows if in_calibration(place[r.doc])}
+    if len(set(held.values())) < 2:
+        held = {r.doc: r.toxic for r in rows}
+    # The line is that of whole texts, as they are scored: one logit a document comes back.
+    found = texts.mapInPandas(_highest(docs.sparkSession.sparkContext.broadcast((model, frozenset(held)))), "doc string, toxic int, highest double").collect()
+    found = sorted((r.doc, r.highest, r.toxic) for r in found)
+    return calibrate(model.params, np.array([h for _, h, _ in found]), np.array([y for _, _, y in found], np.float64), share)
+
+
+def _highest(broadcast):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, held = broadcast.value
+        for pdf in batches:
+            mine = pdf[[str(d) in held for d in pdf["doc_id"]]]
+            yield pd.DataFrame({"doc": mine["doc_id"].astype(str), "toxic": mine["toxic"], "highest": _by_text(lambda t: highest_logits(model, t), mine["text"])})
 
+    return run
 
-def score_texts(model: Model, texts: Iterator[str | None]) -> np.ndarray:
-    """Scores of whole texts."""
+
+def highest_logits(model: Model, texts: Iterator[str | None]) -> np.ndarray:
+    """Highest logit among all windows of each text; zeros without a network."""
     known = _Numbers()
     starts, ends, owner, flat, n = [], [], [], [], 0
     count = 0
@@ -306,18 +330,28 @@ def score_texts(model: Model, texts: Iterator[str | None]) -> np.ndarray:
         for at in range(0, len(s), GROUP):
             ids, mask = _gather(flat_ids, s[at : at + GROUP], e[at : at + GROUP])
             np.maximum.at(highest, who[at : at + GROUP], logits(model.params, projected, ids, mask))
-    return model.score(highest)
+    return highest
+
+
+def score_texts(model: Model, texts: Iterator[str | None]) -> np.ndarray:
+    """Scores of whole texts."""
+    return model.score(highest_logits(model, texts))
 
 
 def _score_column(model, texts: pd.Series) -> np.ndarray:
+    return _by_text(lambda t: score_texts(model, t), texts)
+
+
+def _by_text(value, texts: pd.Series) -> np.ndarray:
+    """value of every text, about two million characters at a time."""
     out, group, size = [], [], 0
     for t in texts:
         group.append(t)
         size += len(t) if t else 0
         if size > 2_000_000:
-            out.append(score_texts(model, iter(group)))
+            out.append(value(iter(group)))
             group, size = [], 0
-    return np.concatenate([*out, score_texts(model, iter(group))])
+    return np.concatenate([*out, value(iter(group))])
 
 
 def _score(broadcast):
