@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -126,17 +127,40 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     source = docs.select(F.col(id_column).alias("doc_id"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
     out = "n_words long, n_hit long, spans array<array<long>>, offsets array<array<long>>, items array<string>"
-    parts = list(blocks(benchmark, limit)) if limit else []
-    if len(parts) <= 1:
-        return source.mapInPandas(_scan(spark.sparkContext.broadcast(parts[0] if parts else []), width), f"doc_id {kind}, {out}")
+    only, parts = _blocks_ahead(benchmark, limit)
+    if only is not None:
+        return source.mapInPandas(_scan(spark.sparkContext.broadcast(only), width), f"doc_id {kind}, {out}")
     # Rows get a number of their own, as ids may be null or repeat.
-    source = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "texts").select("doc_id", "_row", "text")
-    found = [source.mapInPandas(_scan(spark.sparkContext.broadcast(p), width), f"doc_id {kind}, _row long, {out}") for p in parts]
+    source = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    merged = _scan_blocks(source.select("_row", "text"), parts, width)
+    return source.select("doc_id", "_row").join(merged, "_row").select("doc_id", "n_words", "n_hit", "spans", "offsets", "items")
+
+
+def _blocks_ahead(benchmark: DataFrame, limit: int) -> tuple[list[tuple[str, str]] | None, Iterator[list[tuple[str, str]]]]:
+    """The only block, or None and all blocks; they are taken one by one."""
+    parts = blocks(benchmark, limit) if limit else iter([[]])
+    ahead = list(itertools.islice(parts, 2))
+    return (ahead[0] if len(ahead) == 1 else None), itertools.chain(ahead, parts)
+
+
+def _scan_blocks(source: DataFrame, parts: Iterator[list[tuple[str, str]]], width: int) -> DataFrame:
+    """Rows (_row, n_words, n_hit, spans, offsets, items), one for each row of source (_row, text).
+
+    Each block's hits are written before the next block is taken, and its broadcast is released.
+    """
+    out = "_row long, n_words long, n_hit long, spans array<array<long>>, offsets array<array<long>>, items array<string>"
+    found = []
+    for k, part in enumerate(parts):
+        shared = source.sparkSession.sparkContext.broadcast(part)
+        hits = source.mapInPandas(_scan(shared, width), out)
+        # The first block brings every row, the others those that they hit.
+        found.append(materialise(hits.where("n_hit > 0") if k else hits, "hits"))
+        shared.destroy()
     union = found[0]
     for f in found[1:]:
         union = union.union(f)
     merged = union.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.flatten(F.collect_list("offsets")).alias("offsets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
 
@@ -147,7 +171,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         return F.aggregate(F.array_sort(column), F.lit([]).cast("array<array<bigint>>"), grow)
 
     merged = merged.withColumn("spans", joined("spans")).withColumn("offsets", joined("offsets"))
-    return merged.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0]).alias("n_hit"), "spans", "offsets", "items")
+    return merged.select("_row", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0]).alias("n_hit"), "spans", "offsets", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ratio: int = RATIO, limit: int = BLOCK_CHARS) -> DataFrame:
@@ -178,17 +202,19 @@ def _keep(broadcast, width: int, ratio: int):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ratio: int = RATIO) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ratio: int = RATIO, limit: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that aren't contaminated, columns as in docs.
 
-    A benchmark of more than one block is scanned block by block for spans, and
-    rows are matched by id; a null doc_id then counts as clean.
+    Every row is judged by its own text, whatever its id. A benchmark of more than
+    one block is scanned block by block, and verdicts return by row number.
     """
-    parts = list(blocks(benchmark))
-    if len(parts) <= 1:
-        return docs.mapInPandas(_keep(docs.sparkSession.sparkContext.broadcast(parts[0] if parts else []), width, ratio), docs.schema)
-    bad = contamination(docs, benchmark, width, ratio).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    only, parts = _blocks_ahead(benchmark, limit)
+    if only is not None:
+        return docs.mapInPandas(_keep(docs.sparkSession.sparkContext.broadcast(only), width, ratio), docs.schema)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = _scan_blocks(rows.select("_row", "text"), parts, width)
+    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).select("_row")
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 ORACLE = r"""
