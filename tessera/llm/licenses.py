@@ -39,19 +39,47 @@ RULES: tuple[tuple[str, tuple[int, ...], bool], ...] = (
     ("CC-BY-4.0", (10,), True),
     ("Proprietary", (13,), False),
 )
-#: A sentence ends at a line's end, or at a stop followed by white space or the text's end.
-BOUNDARY = r"\n|[.!?]+(?=\s|$)"
+#: Whole sentences of the standard notices that the table only begins, and the identifiers that they stand for.
+NOTICES: dict[str, tuple[int, ...]] = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": (2,),
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": (3,),
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": (4, 5),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": (7,),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": (7,),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": (14,),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": (14,),
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": (8,),
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": (12,),
+}
+#: Version 2 of the GPL has an identifier of its own, as (7, 8) means version 3.
+NOTICE_RULES: tuple[tuple[str, tuple[int, ...], bool], ...] = (("GPL", (14,), False),)
+#: Marks of a line's end and of a sentence's end in a normalised text.
+LINE, STOP = "\n", "\x01"
+
+
+def _normalised(text: str) -> Column:
+    """The text in lower case, runs of other characters as one space, LINE at a line's end, STOP at a stop followed by white space or the text's end and at a blank line."""
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + STOP, "abcdefghijklmnopqrstuvwxyz ")
+    kept = F.regexp_replace(F.regexp_replace(lower, r"[.!?]+(?=\s|$)", STOP), r"[^0-9a-z\x{80}-\x{10FFFF}\n\x01]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(kept, r" ?([\n\x01]) ?", "$1"), r"\n{2,}", STOP))
 
 
-def normalised_sentences(text: str = "text") -> Column:
-    """The sentences of a text in order, normalised; those without a letter or digit are left out."""
-    parts = F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), BOUNDARY)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"[^0-9a-z\x{80}-\x{10FFFF}]+", " "))), lambda s: s != "")
+def _joined(x: Column, flat: Column, forms: Mapping[str, str]) -> Column:
+    """x, with every known sentence that runs over line ends in its stored form; flat is x with spaces for line ends."""
+    out = x
+    for s in sorted(forms, key=lambda s: (-len(s), s)):
+        out = F.regexp_replace(out, rf"(?<=^|[\n\x01]){s.replace(' ', '[ \\n]')}(?=$|[\n\x01])", forms[s])
+    some = F.lit(False)
+    for s in forms:
+        some = some | flat.contains(s)
+    return F.when(some, out).otherwise(x)
 
 
-def scan_licenses(docs: DataFrame, sentences: Mapping[str, int] = SENTENCES, rules: Sequence[tuple[str, tuple[int, ...], bool]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, sentences: Mapping[str, int] = SENTENCES, rules: Sequence[tuple[str, tuple[int, ...], bool]] = RULES + NOTICE_RULES, notices: Mapping[str, tuple[int, ...]] = NOTICES) -> DataFrame:
     """Rows (doc_id, n_sentences, n_known, sentence_ids, licenses, primary_license, permitted), one for each row of docs.
 
+    A sentence ends at a stop, a blank line or a line's end, but a known sentence
+    may run over line ends; notices are longer forms of known sentences and count as these.
     Each sentence becomes its identifier, or 0; sentence_ids lists the known
     identifiers in order. A rule fits where its identifiers follow each other
     without another sentence between. licenses lists, in the order of the rules,
@@ -62,8 +90,14 @@ def scan_licenses(docs: DataFrame, sentences: Mapping[str, int] = SENTENCES, rul
     Null and empty texts have no sentence and no licence. Rows of equal or null id
     are each returned, other columns are ignored, an empty table gives no rows.
     """
-    table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    found = docs.select("doc_id", normalised_sentences().alias("s"))
+    stored = {}
+    for s, k in sentences.items():
+        stored.setdefault(k, s)
+    forms = {s: s for s in sentences} | {s: STOP.join(stored.get(k, s) for k in ids) for s, ids in notices.items()}
+    known = dict(sentences) | {s: ids[0] for s, ids in notices.items() if not set(ids) & set(stored)}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    found = docs.select("doc_id", _normalised("text").alias("x")).withColumn("flat", F.translate("x", LINE, " "))
+    found = found.select("doc_id", F.filter(F.split(_joined(F.col("x"), F.col("flat"), forms), r"[\n\x01]"), lambda s: s != "").alias("s"))
     found = found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.transform("s", lambda s: F.coalesce(F.try_element_at(table, s), F.lit(0))).alias("ids"))
     line = F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), F.lit(" "))
     found = found.select("doc_id", "n_sentences", F.filter("ids", lambda x: x > 0).alias("sentence_ids"), line.alias("line"))
