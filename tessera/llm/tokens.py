@@ -3,83 +3,150 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import n_partitions, scratch_root
+from tessera.llm.common import scratch_root
 
-#: Ids of one block, and blocks coded together, one array element each.
-BLOCK, LANES = 4096, 256
+#: Ids of one block, and blocks coded together at most, one array element each.
+BLOCK, LANES = 4096, 2048
 #: A block begins with these bytes, the number of ids and of 16-bit words, and the crc32 of the ids.
-MAGIC, HEAD = b"TTK1", struct.Struct("<4sIII")
+MAGIC, HEAD = b"TTK2", struct.Struct("<4sIII")
 END_ID = 0
-#: Slots of each prediction table, and confidence levels of a prediction.
-SLOTS, LEVELS = 4096, 8
-#: Symbols: the order-2 prediction is right, the order-1 prediction is right, or the bit length of the id (0 to 32).
-SYMBOLS = 35
-#: By how much a coded symbol's count grows.
-GAIN = 24
+#: Slots of the order-1 and order-2 tables, slots of the order-0 table, and confidence levels of a prediction.
+SLOTS, SEEN, LEVELS = 1024, 256, 8
+#: Cumulated frequencies end at 1 << BITS; a row moves towards the coded symbol by 1 / (1 << RATE).
+BITS, RATE = 15, 4
+TOTAL = 1 << BITS
+#: Bytes of text that a part holds about, and characters that are tokenized together.
+PART_BYTES, GROUP_CHARS = 16 << 20, 1_000_000
+#: Distinct words whose ids a Python worker remembers at most.
+KNOWN_WORDS = 400_000
+
+#: Symbols: the order-2 id, the order-1 id, an id of the order-0 table, and from NEW on an id by its bit length.
+NEW, SYMBOLS = 3, 16
+#: Raw bits of each symbol, and what is taken off the id before; the last symbol has 16 more bits.
+RAW = np.array([0] * NEW + [5, *range(5, 16), 16], np.int64)
+BASE = np.array([0] * NEW + [0, *(1 << k for k in range(5, 16)), 0], np.int64)
+_CLASS = np.array([NEW + max(0, x.bit_length() - 5) for x in range(1 << 16)], np.int64)
+_EVEN = np.arange(SYMBOLS, dtype=np.int32) * (TOTAL // SYMBOLS)
+#: Where a row moves when a symbol was coded; every symbol keeps a frequency of at least 1.
+_GOAL = np.where(np.arange(SYMBOLS) <= np.arange(SYMBOLS)[:, None], np.arange(SYMBOLS), TOTAL - SYMBOLS + np.arange(SYMBOLS)).astype(np.int32)
+
+
+_ROW = np.dtype(f"V{4 * SYMBOLS}")
+
+
+def _bounds(rows: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's symbol begins, and its frequency; at is 16 times the row's number."""
+    flat, k = rows.ravel(), at + symbol
+    low = flat.take(k)
+    high = np.where(symbol == SYMBOLS - 1, TOTAL, flat.take(k + 1, mode="clip"))
+    return low, high - low
+
+
+def _find(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The symbol of each row that holds the value."""
+    below = (rows <= value.astype(np.int32)[:, None]).view(np.uint64)
+    return np.bitwise_count(below).sum(axis=1, dtype=np.int64) - 1
 
 
 class _Model:
-    """Predictions and counts of all lanes; coder and decoder update it alike.
+    """Predictions and frequencies of all lanes; coder and decoder update it alike.
 
-    Order-2 and order-1 contexts predict an id each. Three sets of counts over the
-    symbols are mixed: one for all, one by the confidence of the order-1 prediction, one by that of
-    the order-2 prediction. Each set's share of the mix follows how well it foresaw earlier symbols.
+    Order-2 and order-1 contexts predict an id each, with a confidence; the order-0 table holds
+    ids seen before, whose slots have adaptive frequencies, in two steps of 16. The
+    frequencies of the symbols are a mix of two rows: that of both confidences, and one for all. The
+    share of the mix follows which of them foresees better.
     """
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.guess = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
-        self.counts = [np.ones((lanes * n, SYMBOLS), np.int64) for n in (1, LEVELS, LEVELS)]
-        self.sums = [np.full(lanes * n, SYMBOLS, np.int64) for n in (1, LEVELS, LEVELS)]
-        self.shares = np.full((3, lanes), 1 << 11, np.int64)
+        self.row16 = self.lane * SYMBOLS
+        self.tables = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
+        self.seen = np.zeros(lanes * SEEN, np.int64)
+        self.joint = np.tile(_EVEN, (lanes * LEVELS * LEVELS, 1))
+        self.plain = np.tile(_EVEN, (lanes, 1))
+        self.upper = np.tile(_EVEN, (lanes, 1))
+        self.lower = np.tile(_EVEN, (lanes * 16, 1))
+        self.share = np.full(lanes, 128, np.int32)
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
 
+    def shrink(self, lanes: int) -> None:
+        """Go on with the first lanes only."""
+        for name in ("lane", "row16", "plain", "share", "one", "two"):
+            setattr(self, name, getattr(self, name)[:lanes])
+
     def predict(self) -> np.ndarray:
-        """Cumulated frequencies of the symbols, one row for each lane, 0 first."""
-        self.at = [self.lane * SLOTS + (self.one * 40503 >> 3) % SLOTS, self.lane * SLOTS + ((self.one * 2654435761 + self.two * 40503) >> 7) % SLOTS]
-        self.guessed = [g[a] for g, a in zip(self.guess, self.at, strict=True)]
-        self.level = [s[a] for s, a in zip(self.sure, self.at, strict=True)]
-        self.rows = [self.lane, self.lane * LEVELS + self.level[0], self.lane * LEVELS + self.level[1]]
-        self.had = [c[r] for c, r in zip(self.counts, self.rows, strict=True)]
-        self.total = [s[r] for s, r in zip(self.sums, self.rows, strict=True)]
-        mixed = np.ones((len(self.lane), SYMBOLS), np.int64)
-        for had, total, share in zip(self.had, self.total, self.shares, strict=True):
-            mixed += had * ((share << 14) // total)[:, None] >> 10
-        out = np.zeros((len(self.lane), SYMBOLS + 1), np.int64)
-        np.cumsum(mixed, axis=1, out=out[:, 1:])
+        """Cumulated frequencies of the symbols, one row for each lane."""
+        base = self.lane * SLOTS
+        mixed = self.one * 2654435761
+        self.at = [base + (mixed >> 16 & SLOTS - 1), base + (mixed + self.two * 40503 >> 13 & SLOTS - 1)]
+        self.had = [t.take(a) for t, a in zip(self.tables, self.at, strict=True)]
+        self.level = [e & 7 for e in self.had]
+        self.guess = [e >> 3 for e in self.had]
+        self.row = self.lane * (LEVELS * LEVELS) + self.level[0] * LEVELS + self.level[1]
+        self.rows = self.joint.take(self.row, axis=0)
+        out = self.rows - self.plain
+        out *= self.share[:, None]
+        out >>= 8
+        out += self.plain
         return out
 
+    def slot(self, ids: np.ndarray) -> np.ndarray:
+        return ids * 40503 >> 4 & SEEN - 1
+
     def symbol(self, ids: np.ndarray) -> np.ndarray:
-        length = np.frexp(ids.astype(np.float64))[1].astype(np.int64)
-        return np.where(ids == self.guessed[1], 0, np.where(ids == self.guessed[0], 1, 2 + length))
-
-    def update(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        for k in range(3):
-            seen = (self.had[k][self.lane, symbol] << 12) // self.total[k]
-            self.shares[k] += (seen - self.shares[k]) >> 5
-            self.counts[k][self.rows[k], symbol] += GAIN
-            self.sums[k][self.rows[k]] += GAIN
-        np.maximum(self.shares, 64, out=self.shares)
-        for k in range(2):
-            right = ids == self.guessed[k]
-            self.sure[k][self.at[k]] = np.where(right, np.minimum(self.level[k] + 1, LEVELS - 1), np.where(self.level[k] > 1, self.level[k] >> 1, 0))
-            self.guess[k][self.at[k]] = np.where(right | (self.level[k] > 1), self.guessed[k], ids)
+        """The symbol of ids; remembers their order-0 slots."""
+        self.here = self.slot(ids)
+        new = _CLASS.take(np.minimum(ids, (1 << 16) - 1))
+        new[ids > (1 << 16) - 1] = SYMBOLS - 1
+        known = self.seen.take(self.lane * SEEN + self.here) == ids + 1
+        return np.where(ids == self.guess[1], 0, np.where(ids == self.guess[0], 1, np.where(known, 2, new)))
+
+    def update(self, symbol: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Learn the coded ids; size is the frequency that their symbols had in the mix."""
+        better = _bounds(self.rows, symbol, self.row16)[1] > size
+        self.share += np.where(better, 248, 8).astype(np.int32) - self.share >> 4
+        goal = _GOAL.take(symbol, axis=0)
+        self.rows += goal - self.rows >> RATE
+        _put_rows(self.joint, self.row, self.rows)
+        self.plain += goal - self.plain >> RATE + 1
+        for table, at, had, level, guess in zip(self.tables, self.at, self.had, self.level, self.guess, strict=True):
+            table[at] = np.where(ids == guess, had + (level < LEVELS - 1), np.where(level > 1, had - level + (level >> 1), ids << 3))
+        self.seen[self.lane * SEEN + self.here] = ids + 1
         self.two, self.one = self.one, ids
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b. Values below 2**48 and quotients below 2**17 keep floats exact, which divide faster."""
+    return (a / b).astype(np.int64)
+
+
+def _put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Write whole rows, each as one value."""
+    table.view(_ROW)[at, 0] = rows.view(_ROW)[:, 0]
+
+
+def _learn_slots(model: _Model, which: np.ndarray, high: np.ndarray, low: np.ndarray, upper: np.ndarray, lower: np.ndarray, at: np.ndarray) -> None:
+    upper += _GOAL.take(high, axis=0) - upper >> RATE
+    _put_rows(model.upper, which, upper)
+    lower += _GOAL.take(low, axis=0) - lower >> RATE
+    _put_rows(model.lower, at, lower)
+
+
 _LOW = (1 << 32) - 1
 
 
@@ -94,52 +161,88 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _live(sizes: np.ndarray, n: int) -> np.ndarray:
+    """Blocks, longest first, that still have ids at each step."""
+    return len(sizes) - np.searchsorted(sizes[::-1], np.arange(n), side="right")
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks])
-    n, lanes = int(sizes[0]) if len(sizes) else 0, len(blocks)
+    n, lanes = int(sizes[0]), len(blocks)
     ids = np.zeros((n, lanes), np.int64)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     model = _Model(lanes)
-    low, span, used = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
-    words = np.zeros((lanes, 5 * n + 4), np.int64)
-    lane = np.arange(lanes)
-
-    def put(start, size, total, live):
-        nonlocal low, span
-        step = span // total
-        low = np.where(live, low + step * start, low)
-        span = np.where(live, step * size, span)
-        full = np.flatnonzero(span <= _LOW)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    who: list[np.ndarray] = []
+    words: list[np.ndarray] = []
+
+    def settle(full: np.ndarray) -> None:
+        """Put out words until every span is wide again."""
         while len(full):
             # The seventeenth bit is a carry into the word before, settled at the end.
-            words[full, used[full]] = low[full] >> 32
-            used[full] += 1
-            low[full] = (low[full] & _LOW) << 16
-            span[full] <<= 16
-            full = full[span[full] <= _LOW]
-
+            part = low[full]
+            who.append(full.astype(np.int16))
+            words.append((part >> 32).astype(np.int32))
+            low[full] = (part & _LOW) << 16
+            wide = span[full] << 16
+            span[full] = wide
+            full = full[wide <= _LOW]
+
+    live = _live(sizes, n)
     for t in range(n):
-        x, live = ids[t], t < sizes
-        to = model.predict()
+        w = int(live[t])
+        if w < len(model.lane):
+            model.shrink(w)
+        x, l, s = ids[t, :w], low[:w], span[:w]
+        rows = model.predict()
         symbol = model.symbol(x)
-        put(to[lane, symbol], to[lane, symbol + 1] - to[lane, symbol], to[:, -1], live)
-        bits = np.maximum(symbol - 3, 0)
-        rest = x - (np.int64(1) << bits)
-        for shift in (0, 15, 30):
-            width = np.clip(bits - shift, 0, 15)
-            some = live & (width > 0)
-            if some.any():
-                put(np.where(some, rest >> shift & (np.int64(1) << width) - 1, 0), 1, np.int64(1) << width, some)
-        model.update(symbol, x)
+        start, size = _bounds(rows, symbol, model.row16)
+        step = s >> BITS
+        l += step * start
+        raw = np.where(symbol >= NEW, x - BASE.take(symbol), 0)
+        wide = np.flatnonzero(symbol == SYMBOLS - 1)
+        raw[wide] >>= 16
+        step = step * size >> RAW.take(symbol)
+        l += step * raw
+        s[:] = step
+        settle(np.flatnonzero(s <= _LOW))
+        if len(wide):
+            step = span[wide] >> 16
+            low[wide] += step * (x[wide] & 0xFFFF)
+            span[wide] = step
+            settle(wide[step <= _LOW])
+        which = np.flatnonzero(symbol == 2)
+        if len(which):
+            slot = model.here[which]
+            at, row16 = which * 16 + (slot >> 4), np.arange(len(which)) * SYMBOLS
+            upper, lower = model.upper.take(which, axis=0), model.lower.take(at, axis=0)
+            high, rest = slot >> 4, slot & 15
+            step = span[which] >> BITS
+            start, part = _bounds(upper, high, row16)
+            more = step * start
+            step = step * part >> BITS
+            start, part = _bounds(lower, rest, row16)
+            low[which] += more + step * start
+            step *= part
+            span[which] = step
+            settle(which[step <= _LOW])
+            _learn_slots(model, which, high, rest, upper, lower, at)
+        model.update(symbol, x, size)
+    everyone = np.arange(lanes)
     for shift in (32, 16, 0):
-        words[lane, used] += low >> shift if shift == 32 else low >> shift & 0xFFFF
-        used += 1
-    for column in range(words.shape[1] - 1, 0, -1):
-        words[:, column - 1] += words[:, column] >> 16
-        words[:, column] &= 0xFFFF
-    bodies = words.astype("<u2")
-    return [HEAD.pack(MAGIC, len(b), int(u), zlib.crc32(b.astype("<u4").tobytes())) + bodies[k, :u].tobytes() for k, (b, u) in enumerate(zip(blocks, used, strict=True))]
+        who.append(everyone.astype(np.int16))
+        words.append((low >> shift if shift == 32 else low >> shift & 0xFFFF).astype(np.int32))
+    owner, body = np.concatenate(who), np.concatenate(words)
+    order = np.argsort(owner, kind="stable")
+    body = body[order]
+    while (carry := body >> 16).any():
+        body &= 0xFFFF
+        body[:-1] += carry[1:]
+    used = np.bincount(owner, minlength=lanes)
+    ends = np.cumsum(used)
+    flat = body.astype("<u2")
+    return [HEAD.pack(MAGIC, len(b), int(u), zlib.crc32(b.astype("<u4").tobytes())) + flat[e - u : e].tobytes() for b, u, e in zip(blocks, used, ends, strict=True)]
 
 
 def decode_blocks(bodies: list[bytes]) -> list[np.ndarray]:
@@ -163,168 +266,261 @@ def decode_blocks(bodies: list[bytes]) -> list[np.ndarray]:
 def _decode(bodies: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
     sizes = np.array([h[1] for h in heads])
     n, lanes = int(sizes[0]), len(bodies)
-    words = np.zeros((lanes, max(h[2] for h in heads) + 8), np.int64)
-    for k, (b, h) in enumerate(zip(bodies, heads, strict=True)):
-        words[k, : h[2]] = np.frombuffer(b, "<u2", h[2], HEAD.size)
+    # A damaged block may ask for words beyond its end.
+    words = np.r_[np.concatenate([np.frombuffer(b, "<u2", h[2], HEAD.size) for b, h in zip(bodies, heads, strict=True)]), np.zeros(8, np.uint16)].astype(np.int64)
+    used = np.r_[0, np.cumsum([h[2] for h in heads])[:-1]]
     model = _Model(lanes)
-    lane, used = np.arange(lanes), np.full(lanes, 3)
-    code, span = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2], np.full(lanes, 1 << 48, np.int64)
+    code = words.take(used, mode="clip") << 32 | words.take(used + 1, mode="clip") << 16 | words.take(used + 2, mode="clip")
+    used += 3
+    span = np.full(lanes, 1 << 48, np.int64)
     out = np.zeros((n, lanes), np.int64)
 
-    def take(start, size, step, live):
-        nonlocal code, span
-        code = np.where(live, code - step * start, code)
-        span = np.where(live, step * size, span)
-        full = np.flatnonzero(span <= _LOW)
+    def settle(full: np.ndarray) -> None:
         while len(full):
-            code[full] = code[full] << 16 | words[full, np.minimum(used[full], words.shape[1] - 1)]
-            used[full] += 1
-            span[full] <<= 16
-            full = full[span[full] <= _LOW]
-
+            at = used[full]
+            code[full] = code[full] << 16 | words.take(at, mode="clip")
+            used[full] = at + 1
+            wide = span[full] << 16
+            span[full] = wide
+            full = full[wide <= _LOW]
+
+    live = _live(sizes, n)
     for t in range(n):
-        live = t < sizes
-        to = model.predict()
-        step = span // to[:, -1]
-        value = np.minimum(code // step, to[:, -1] - 1)
-        symbol = np.where(live, (to[:, 1:] <= value[:, None]).sum(axis=1), 0)
-        take(to[lane, symbol], to[lane, symbol + 1] - to[lane, symbol], step, live)
-        bits = np.maximum(symbol - 3, 0)
-        rest = np.zeros(lanes, np.int64)
-        for shift in (0, 15, 30):
-            width = np.clip(bits - shift, 0, 15)
-            some = live & (width > 0)
-            if some.any():
-                step = span // (np.int64(1) << width)
-                part = np.where(some, np.minimum(code // step, (np.int64(1) << width) - 1), 0)
-                take(part, 1, step, some)
-                rest |= part << shift
-        x = np.where(symbol == 0, model.guessed[1], np.where(symbol == 1, model.guessed[0], np.where(symbol == 2, 0, (np.int64(1) << bits) + rest)))
-        out[t] = np.where(live, x, 0)
-        # Lanes that have ended go on with zeros, as in the coder.
-        symbol = np.where(live, symbol, model.symbol(out[t]))
-        model.update(symbol, out[t])
+        w = int(live[t])
+        if w < len(model.lane):
+            model.shrink(w)
+        c, s = code[:w], span[:w]
+        rows = model.predict()
+        step = s >> BITS
+        symbol = _find(rows, np.minimum(_quotient(c, step), TOTAL - 1))
+        start, size = _bounds(rows, symbol, model.row16)
+        c -= step * start
+        bits = RAW.take(symbol)
+        step = step * size >> bits
+        raw = np.minimum(_quotient(c, step), (1 << bits) - 1)
+        c -= step * raw
+        s[:] = step
+        settle(np.flatnonzero(s <= _LOW))
+        x = np.where(symbol == 0, model.guess[1], np.where(symbol == 1, model.guess[0], raw + BASE.take(symbol)))
+        wide = np.flatnonzero(symbol == SYMBOLS - 1)
+        if len(wide):
+            step = span[wide] >> 16
+            rest = np.minimum(_quotient(code[wide], step), 0xFFFF)
+            code[wide] -= step * rest
+            span[wide] = step
+            x[wide] = raw[wide] << 16 | rest
+            settle(wide[step <= _LOW])
+        which = np.flatnonzero(symbol == 2)
+        if len(which):
+            step, part = span[which] >> BITS, code[which]
+            row16 = np.arange(len(which)) * SYMBOLS
+            upper = model.upper.take(which, axis=0)
+            high = _find(upper, np.minimum(_quotient(part, step), TOTAL - 1))
+            start, many = _bounds(upper, high, row16)
+            part -= step * start
+            step = step * many >> BITS
+            at = which * 16 + high
+            lower = model.lower.take(at, axis=0)
+            rest = _find(lower, np.minimum(_quotient(part, step), TOTAL - 1))
+            start, many = _bounds(lower, rest, row16)
+            code[which] = part - step * start
+            step *= many
+            span[which] = step
+            settle(which[step <= _LOW])
+            x[which] = model.seen.take(which * SEEN + (high << 4 | rest)) - 1
+            _learn_slots(model, which, high, rest, upper, lower, at)
+        model.here = model.slot(x)
+        out[t, :w] = x
+        model.update(symbol, x, size)
     return [out[:s, k].copy() for k, s in enumerate(sizes)]
 
 
-@functools.cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: The only pre-tokenizer whose words may be learnt one by one: it never joins what stands before a space to what follows.
+_BY_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: White space other than line ends inside of words and single spaces between them: such a text is tokenized as it stands.
+_ODD = re.compile(r" (?=\s|$)|[^\S\n ]|^\s|\s$|\n\s|\0")
+
+
+class _Tokenizer:
+    """Ids of texts as little-endian bytes; distinct words are tokenized once and remembered, where that can't change the ids."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        newline = self.ids(["\n"])[0]
+        plain = spec["pre_tokenizer"] == _BY_WORDS and not spec["normalizer"] and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+        #: The id of a line end, which no word without one can have.
+        self.newline = int.from_bytes(newline, "little") if plain and len(newline) == 4 else None
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember words (each with the space before it, if any), tokenized many at a time, a line end between them."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            body = self.ids(["\n".join(part)])[0]
+            cuts = np.flatnonzero(np.frombuffer(body, "<u4") == self.newline) * 4
+            start = 0
+            for w, end in zip(part, [*cuts.tolist(), len(body)], strict=True):
+                self.known[w] = body[start:end]
+                start = end + 4
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.newline is None:
+            return self.ids(texts)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        words = [None if not t or _ODD.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
+        self.learn([w for w in set().union(*(x for x in words if x)) - self.known.keys() if w and w != "\n"])
+        self.known["\n"] = self.newline.to_bytes(4, "little")
+        self.known[""] = b""
+        odd = iter(self.ids([t for t, x in zip(texts, words, strict=True) if x is None]))
+        return [next(odd) if x is None else b"".join(map(self.known.__getitem__, x)) for x in words]
 
-    return Tokenizer.from_file(path)
 
+@functools.cache
+def _tokenizer(path: str) -> _Tokenizer:
+    return _Tokenizer(path)
+
+
+_END = np.array([END_ID], "<u4").tobytes()
+
+
+def _token_ids(tokenizer: _Tokenizer, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+    """Ids of each text with the end id, GROUP_CHARS characters at a time."""
+    group, size = [], 0
+    for t in itertools.chain(texts, [...]):
+        if group and (t is ... or size + len(t or "") > GROUP_CHARS):
+            for body in tokenizer.encode(group):
+                yield np.frombuffer(body + _END, "<u4")
+            group, size = [], 0
+        if t is not ...:
+            group.append(t or "")
+            size += len(t or "")
+
+
+def _write(path: str, kind: pa.DataType):
+    """Blocks of a part's ids, in order; a row's documents are those that begin in its block."""
+    out = pa.schema({"part": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(kind), "lengths": pa.list_(pa.int32()), "body": pa.binary()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        blocks: list[np.ndarray] = []
+        docs: list[tuple[list, list]] = []
+        open_ids: list[np.ndarray] = []
+        names: tuple[list, list] = ([], [])
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            nonlocal number, blocks, docs
+            bodies = encode_blocks(blocks)
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(bodies), pa.int32()), pa.array(range(number, number + len(bodies)), pa.int32()), pa.array([d[0] for d in docs], pa.list_(kind)), pa.array([d[1] for d in docs], pa.list_(pa.int32())), pa.array(bodies, pa.binary())],
+                schema=out,
+            )
+            number += len(bodies)
+            blocks, docs = [], []
+            return made
 
-def _ids(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = _tokenizer(path)
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf["text"]]
-            ids = []
-            for at in range(0, len(texts), 64):
-                ids += [np.array([*e.ids, END_ID], "<u4").tobytes() for e in tokenizer.encode_batch(texts[at : at + 64], add_special_tokens=False)]
-            yield pdf[["doc_id"]].assign(ids=ids)
+        for batch in batches:
+            for doc, ids in zip(batch.column(0).to_pylist(), _token_ids(tokenizer, batch.column(1).to_pylist()), strict=True):
+                names[0].append(doc)
+                names[1].append(len(ids))
+                at = 0
+                while at < len(ids):
+                    piece = ids[at : at + BLOCK - held]
+                    open_ids.append(piece)
+                    held += len(piece)
+                    at += len(piece)
+                    if held == BLOCK:
+                        blocks.append(np.concatenate(open_ids))
+                        docs.append(names)
+                        open_ids, names, held = [], ([], []), 0
+                        if len(blocks) == LANES:
+                            yield rows()
+        if held:
+            blocks.append(np.concatenate(open_ids))
+            docs.append(names)
+        if blocks:
+            yield rows()
 
     return run
 
 
-def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of a part's ids, in order; the first row of a part's table of documents goes with the block in which a document begins."""
-    from pyspark import TaskContext
-
-    part, number = TaskContext.get().partitionId(), 0
-    blocks: list[np.ndarray] = []
-    docs: list[tuple[list, list]] = []
-    open_ids: list[np.ndarray] = []
-    names: tuple[list, list] = ([], [])
-    held = 0
-
-    def rows() -> pd.DataFrame:
-        nonlocal number, blocks, docs
-        bodies = encode_blocks(blocks)
-        out = pd.DataFrame({"part": part, "block": range(number, number + len(bodies)), "doc_ids": [d[0] for d in docs], "lengths": [d[1] for d in docs], "body": bodies})
-        number += len(bodies)
-        blocks, docs = [], []
-        return out
-
-    for pdf in batches:
-        for doc, body in zip(pdf["doc_id"], pdf["ids"], strict=True):
-            ids = np.frombuffer(body, "<u4")
-            names[0].append(None if pd.isna(doc) else doc)
-            names[1].append(len(ids))
-            at = 0
-            while at < len(ids):
-                piece = ids[at : at + BLOCK - held]
-                open_ids.append(piece)
-                held += len(piece)
-                at += len(piece)
-                if held == BLOCK:
-                    blocks.append(np.concatenate(open_ids))
-                    docs.append(names)
-                    open_ids, names, held = [], ([], []), 0
-                    if len(blocks) == LANES:
-                        yield rows()
-    if held:
-        blocks.append(np.concatenate(open_ids))
-        docs.append(names)
-    if blocks:
-        yield rows()
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, part_bytes: int = PART_BYTES) -> None:
     """Write the ids of docs (doc_id, text) under path, in ascending doc_id order, as a table of blocks.
 
-    Each part holds a range of doc_ids. A row has the part's and the block's number, ids and lengths of the documents
+    Each part holds a range of doc_ids, of about part_bytes of text, so parts grow in number and not in size. A row has
+    the part's and the block's number, ids and lengths of the documents
     that begin in the block, and the coded block. The table is Spark's, so that lost
     tasks are done again and no half file stays.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    n = n_partitions(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = F.col("doc_id").asc_nulls_first()
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, order, F.xxhash64("text")).sortWithinPartitions(order, "text")
-    ids = ranged.mapInPandas(_ids(tokenizer), f"doc_id {kind}, ids binary")
-    ids.mapInPandas(_write, f"part int, block int, doc_ids array<{kind}>, lengths array<int>, body binary").write.option("compression", "none").parquet(path)
+    ranged = docs.select("doc_id", "text").repartitionByRange(max(1, -(-size // part_bytes)), order, F.xxhash64("text")).sortWithinPartitions(order, "text")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    blocks = ranged.mapInArrow(_write(tokenizer, to_arrow_type(kind)), f"part int, block int, doc_ids array<{kind.simpleString()}>, lengths array<int>, body binary")
+    blocks.write.option("compression", "none").parquet(path)
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(kind: pa.DataType):
     """Documents of a part from its blocks in order; a document may go over many blocks."""
-    part, at, start = -1, 0, 0
-    doc, left, crc, length = None, 0, 0, 0
-    for pdf in batches:
-        decoded: list[np.ndarray] = decode_blocks([bytes(b) for b in pdf["body"]])
-        out = []
-        for p, ids, names, lengths in zip(pdf["part"], decoded, pdf["doc_ids"], pdf["lengths"], strict=True):
-            if p != part:
+    out = pa.schema({"doc_id": kind, "part": pa.int32(), "within": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, start = -1, 0, 0
+        doc, left, crc, length = None, 0, 0, 0
+        for batch in batches:
+            found = batch.to_pydict()
+            decoded = decode_blocks(found["body"])
+            rows: list[tuple] = []
+            for p, ids, names, lengths in zip(found["part"], decoded, found["doc_ids"], found["lengths"], strict=True):
+                if p != part:
+                    if left:
+                        raise ValueError("a document's last block is missing")
+                    part, start = p, 0
+                body, at = ids.astype("<u4"), 0
                 if left:
-                    raise ValueError("a document's last block is missing")
-                part, start = p, 0
-            body, at = ids.astype("<u4"), 0
-            if left:
-                n = min(left, len(body))
-                crc, left, at = zlib.crc32(body[:n].tobytes(), crc), left - n, n
-                if not left:
-                    out.append((doc, part, start, length, crc))
-                    start += length
-            for doc, length in zip(names, lengths, strict=True):
-                n = min(int(length), len(body) - at)
-                crc, left, at = zlib.crc32(body[at : at + n].tobytes()), int(length) - n, at + n
-                if not left:
-                    out.append((doc, part, start, length, crc))
-                    start += length
-        yield pd.DataFrame(out, columns=["doc_id", "part", "within", "n_tokens", "ids_crc32"])
-    if left:
-        raise ValueError("a document's last block is missing")
+                    n = min(left, len(body))
+                    crc, left, at = zlib.crc32(body[:n].tobytes(), crc), left - n, n
+                    if not left:
+                        rows.append((doc, part, start, length, crc))
+                        start += length
+                for doc, length in zip(names, lengths, strict=True):
+                    n = min(length, len(body) - at)
+                    crc, left, at = zlib.crc32(body[at : at + n].tobytes()), length - n, at + n
+                    if not left:
+                        rows.append((doc, part, start, length, crc))
+                        start += length
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
+        if left:
+            raise ValueError("a document's last block is missing")
+
+    return run
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) of what write_tokens wrote, from the decoded blocks."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     blocks = spark.read.parquet(path)
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    dealt = blocks.repartition(n_partitions(spark), "part").sortWithinPartitions("part", "block")
-    found = dealt.mapInPandas(_read, f"doc_id {kind}, part int, within long, n_tokens long, ids_crc32 long")
+    kind = blocks.schema["doc_ids"].dataType.elementType
     # One row for each part: all that the window without partitions runs over.
     sums = blocks.select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     begins = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
+    parts = max(1, blocks.agg(F.max("part")).first()[0] or 0) + 1
+    dealt = blocks.repartition(parts, "part").sortWithinPartitions("part", "block")
+    found = dealt.mapInArrow(_read(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, part int, within long, n_tokens long, ids_crc32 long")
     return found.join(F.broadcast(begins), "part").select("doc_id", (F.col("begin") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

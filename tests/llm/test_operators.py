@@ -140,11 +140,22 @@ def test_blocks_come_back_and_damage_is_seen(spark):
     assert all(np.array_equal(tokens.decode_blocks([c])[0], b) for c, b in zip(coded, blocks, strict=True))
     damaged = bytearray(coded[0])
     damaged[tokens.HEAD.size + 4] ^= 1
-    for body in (bytes(damaged), coded[0][:-2], b"TTK1"):
+    for body in (bytes(damaged), coded[0][:-2], b"TTK2"):
         with pytest.raises(ValueError):
             tokens.decode_blocks([body])
 
 
+def test_words_learnt_one_by_one_give_the_same_ids():
+    import public_tokenizers
+
+    known = tokens._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(12)
+    signs = list("ab é\n\t.,'12") + [" ", " ", "\x00", "\x1c", "\u00a0", "\u3000", "<|endoftext|>"]
+    texts = ["", " a", "a ", "a  b", "a\n\nb", "a\n b", "a \nb", "don't we'll 12 3a,b\nc'd"] + ["".join(signs[k] for k in rng.integers(0, len(signs), n)) for n in rng.integers(0, 40, 400)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in known.whole.encode_batch(texts, add_special_tokens=False)]
+    assert known.encode(texts) == want
+
+
 def test_token_table_matches_tokenizer(spark, odd):
     import zlib
 
@@ -154,7 +165,7 @@ def test_token_table_matches_tokenizer(spark, odd):
     got = sorted((tuple(r) for r in tokens.token_table(odd, path).collect()), key=lambda r: r[1])
     start, want = 0, []
     for r in sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
-        ids = np.array([*tokens._tokenizer(path).encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*tokens._tokenizer(path).whole.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
