@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands only choose what is compared."""
+"""Near copies by exact Jaccard similarity of word shingles, compared where SimHash or, beyond its reach, MinHash says so."""
 
 from __future__ import annotations
 
@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, n_partitions, utf8
 from tessera.llm.graph import connected_components
+from tessera.llm.simhash import links, of_hashes, shingle_hashes
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 WIDTH, SIMILARITY = 5, 0.8
+#: Fingerprints are probed to this distance. Near copies may differ in more bits (at 0.8 in ten of 64), so bands follow.
+DISTANCE = 3
 #: Bands and minima of each: a pair at similarity 0.8 shares no band in (1 - 0.8^4)^24 = 3 of a million cases.
 BANDS, ROWS = 24, 4
 #: Pairs whose minima agree in a smaller share aren't verified: over six standard errors below 0.8.
@@ -30,15 +33,7 @@ _TIMES = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles of lower-cased (A-Z) words; a text of fewer words is one shingle, one without words none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(words) < width:
-        return np.array([digest(b" ".join(words), 42)], np.uint64)
-    n = len(words) - width + 1
-    rows = map(b" ".join, zip(*(words[k : k + n] for k in range(width)), strict=True))
-    return np.unique(np.fromiter((digest(s, 42) for s in rows), np.uint64, n))
+    return np.unique(shingle_hashes(text, width))
 
 
 def minima(found: np.ndarray) -> np.ndarray:
@@ -60,11 +55,12 @@ def _signatures(width: int):
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                found = shingles(text, width)
+                every = shingle_hashes(text, width)
+                found = np.unique(every)
                 low = minima(found)
                 bands = [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(found) else []
-                rows.append((xxhash.xxh3_128_digest(found.tobytes()), np.array(bands, np.uint64).view(np.int64), low.astype(np.uint16).tobytes()))
-            yield pd.concat([pdf[["_row"]].reset_index(drop=True), pd.DataFrame(rows, columns=["content", "bands", "low"])], axis=1)
+                rows.append((xxhash.xxh3_128_digest(found.tobytes()), np.uint64(of_hashes(every)).view(np.int64), np.array(bands, np.uint64).view(np.int64), low.astype(np.uint16).tobytes()))
+            yield pd.concat([pdf[["_row"]].reset_index(drop=True), pd.DataFrame(rows, columns=["content", "fp", "bands", "low"])], axis=1)
 
     return run
 
@@ -115,7 +111,24 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = held.iloc[end:].reset_index(drop=True)
 
 
-def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints SimHash links: each with the first of its fingerprint, and the firsts of linked ones."""
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "distinct")
+    same = nodes.select("node", "fp").join(firsts.where("n > 1").select("fp", F.col("node").alias("a")).hint("merge"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    ends = links(firsts.select("fp"), distance)
+    for end, fp in (("x", "a"), ("y", "b")):
+        ends = ends.join(firsts.select(F.col("fp").alias(fp), F.col("node").alias(end)).hint("merge"), fp)
+    return same.union(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose nodes aren't in one component yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")).hint("merge"), end, "left")
+    return pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs that stay when each group of near copies keeps one row; columns as in docs.
 
     Two rows are linked if the Jaccard similarity of their sets of shingles is at
@@ -123,32 +136,38 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     smallest doc_id, nulls last; of rows with equal doc_id any one.
     Null and empty texts, and texts of white space only, are one group.
 
-    Every link is verified on the texts. First each member of a bucket is compared
-    with the bucket's smallest; then, where that left a bucket in several
+    Every link is verified on the texts. First come the pairs that SimHash links, by the
+    probes of unequal thresholds, up to ``distance`` bits. That many bits can't reach all texts of the similarity, so
+    each member of a MinHash bucket is then compared with the bucket's smallest; last, where that left a bucket in several
     components, all pairs of different components whose minima allow it.
     """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    signed = materialise(rows.select("_row", utf8().alias("text")).mapInPandas(_signatures(width), "_row long, content binary, bands array<long>, low binary"), "signatures")
+    signed = materialise(rows.select("_row", utf8().alias("text")).mapInPandas(_signatures(width), "_row long, content binary, fp long, bands array<long>, low binary"), "signatures")
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     # Rows of equal shingles are one node, named by the row that they keep.
-    named = signed.join(rows.select("_row", "doc_id").hint("merge"), "_row").groupBy("content").agg(F.min(who).alias("who"), F.first("bands").alias("bands"), F.first("low").alias("low"))
-    nodes = materialise(named.select(F.col("who.row").alias("node"), "who", "bands", "low"), "nodes")
+    named = signed.join(rows.select("_row", "doc_id").hint("merge"), "_row").groupBy("content").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    nodes = materialise(named.select(F.col("who.row").alias("node"), "who", "fp", "bands", "low"), "nodes")
     texts = rows.select(F.col("_row").alias("node"), utf8().alias("text"))
 
+    tried = materialise(_fingerprint_pairs(nodes, distance), "pairs")
+    verified = _verified(tried, texts, width, similarity)
+    parts = connected_components(verified)
+
     keys = nodes.select("node", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     members = materialise(keys.join(pivots.hint("merge"), "key"), "members")
-    pairs = materialise(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    first = _verified(pairs, texts, width, similarity)
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialise(_across(pairs, parts).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    tried, verified = tried.union(pairs), verified.union(_verified(pairs, texts, width, similarity))
 
-    parts = materialise(connected_components(first), "components")
+    parts = connected_components(verified)
     placed = materialise(members.select("key", "node").join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     left = placed.join(mixed.hint("merge"), "key", "left_semi").join(nodes.select("node", "low").hint("merge"), "node")
     dealt = left.repartition(n_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    more = materialise(dealt.select("key", "node", "component", "low").mapInPandas(_cross_pairs, "a long, b long").distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more")
+    more = materialise(dealt.select("key", "node", "component", "low").mapInPandas(_cross_pairs, "a long, b long").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        parts = connected_components(first.union(_verified(more, texts, width, similarity)))
+        parts = connected_components(verified.union(_verified(more, texts, width, similarity)))
     groups = nodes.select("node", "who").join(parts.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("who").alias("who"))
     stay = materialise(groups.select(F.col("who.row").alias("_row")), "stay")
     return rows.join(stay.hint("merge"), "_row", "left_semi").select(docs.columns)

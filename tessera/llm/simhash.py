@@ -29,18 +29,28 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
     A text of fewer words than the width is one shingle.
     """
+    return of_hashes(shingle_hashes(text, width, seed))
+
+
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of the lower-cased (A-Z) words, in order, repeats included; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros(BITS, np.int64)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, SLICE):
-        part = words[at : min(n, at + SLICE) + width - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-        h = np.array([digest(s, seed) for s in shingles], dtype=">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    if len(words) < width:
+        return np.array([digest(b" ".join(words), seed)], np.uint64)
+    n = len(words) - width + 1
+    rows = map(b" ".join, zip(*(words[k : k + n] for k in range(width)), strict=True))
+    return np.fromiter((digest(s, seed) for s in rows), np.uint64, n)
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), SLICE):
+        ones += np.unpackbits(h[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
 def _fingerprints(width: int):
@@ -282,15 +292,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE) -
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = materialise(labelled.join(least, "component").select("fp", "component_id"), "names")
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs that stay when each near-duplicate group keeps its smallest doc_id; columns as in docs.
-
-    Of rows with equal doc_id one stays. Rows with a null doc_id can't be told
-    apart by id and stay.
-    """
-    found = materialise(near_duplicates(docs, width, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    once = docs.join(found.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    more = docs.join(found.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(more).union(docs.where("doc_id is null")).select(docs.columns)
