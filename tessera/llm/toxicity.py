@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise
 
 #: Words of a window, and from one window's start to the next; windows overlap by the difference.
-WINDOW, STRIDE = 32, 28
+WINDOW, STRIDE = 32, 16
 #: Buckets of hashed words and of hashed character triples, and the sizes of inputs and states.
-WORD_BUCKETS, CHAR_BUCKETS, INPUT, STATE = 1 << 15, 1 << 12, 16, 8
+WORD_BUCKETS, CHAR_BUCKETS, INPUT, STATE = 1 << 15, 1 << 12, 16, 16
 #: The network is fitted on at most so many documents of each label, and so many windows of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 24
-EPOCHS, BATCH, RATE = 4, 256, 4e-3
+EPOCHS, BATCH, RATE = 6, 256, 4e-3
 #: A small sample is passed over more often, until the network has been updated so often.
 LEAST_UPDATES = 300
+#: Share of words whose own embedding a training step sees; rare words are learnt by heart otherwise.
+SHOWN = 0.5
 THRESHOLD = 0.3
 #: Windows scored together, and words whose inputs are computed together.
 GROUP, KEPT_WORDS = 1024, 20_000
@@ -132,13 +134,14 @@ def _gather(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return flat[np.minimum(at, len(flat) - 1)], mask
 
 
-def gradients(p: dict, words: list[bytes], ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean log loss of windows and its gradient in every parameter."""
+def gradients(p: dict, words: list[bytes], ids: np.ndarray, mask: np.ndarray, y: np.ndarray, rng: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss of windows and its gradient in every parameter; rng, if given, hides words of which the characters must then tell."""
     used, local = np.unique(ids, return_inverse=True)
     local = local.reshape(ids.shape)
     bucket, triples, begins = hashed([words[i] for i in used])
     counts = np.diff(np.r_[begins, len(triples)])
-    x = p["words"][bucket] + np.add.reduceat(p["chars"][triples], begins, axis=0) / counts[:, None].astype(np.float32)
+    shown = np.ones((len(used), 1), np.float32) if rng is None else (rng.random((len(used), 1)) < SHOWN).astype(np.float32) / np.float32(SHOWN)
+    x = shown * p["words"][bucket] + np.add.reduceat(p["chars"][triples], begins, axis=0) / counts[:, None].astype(np.float32)
     xs = x[local]
     tapes: dict[str, list] = {"f": [], "b": []}
     g = np.concatenate([_recur(p, d, xs @ p[f"x{d}"] + p[f"c{d}"], mask, tapes[d]) for d in "fb"], axis=2)
@@ -173,7 +176,7 @@ def gradients(p: dict, words: list[bytes], ids: np.ndarray, mask: np.ndarray, y:
     per_word = np.zeros_like(x)
     np.add.at(per_word, local.ravel(), dx.reshape(-1, INPUT))
     out["words"], out["chars"] = np.zeros_like(p["words"]), np.zeros_like(p["chars"])
-    np.add.at(out["words"], bucket, per_word)
+    np.add.at(out["words"], bucket, shown * per_word)
     np.add.at(out["chars"], triples, np.repeat(per_word / counts[:, None].astype(np.float32), counts, axis=0))
     return loss, out
 
@@ -194,7 +197,7 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
     """Fit to rows (document number, label, words of a window); share is the share of label 1 among all labels.
 
     Four fifths of the documents train the network on windows with their document's
-    label, Adam, balanced classes. The others, whose windows the network
+    label, by Adam; after a third and two thirds of the passes only telling windows of toxic documents go on. The others, whose windows the network
     hasn't seen, are left to ``calibrate``. With one label only, every score is
     the share.
     """
@@ -212,12 +215,15 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
     held = np.array([in_calibration(d) for d in doc])
     train, step = np.flatnonzero(~held), 0
     per_epoch = max(1, -(-len(train) // BATCH))
-    for _ in range(max(epochs, -(-LEAST_UPDATES // per_epoch))):
-        order = rng.permutation(train)
+    passes = max(epochs, -(-LEAST_UPDATES // per_epoch))
+    for k in range(passes):
+        if k in (passes // 3, 2 * passes // 3):
+            kept = train[_telling(p, words, ids[train], mask[train], y[train], doc[train])]
+        order = rng.permutation(kept if k >= passes // 3 else train)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             step += 1
-            _, grads = gradients(p, words, ids[pick], mask[pick], y[pick])
+            _, grads = gradients(p, words, ids[pick], mask[pick], y[pick], rng)
             for k, v in grads.items():
                 one[k] += np.float32(0.1) * (v - one[k])
                 two[k] += np.float32(0.001) * (v * v - two[k])
@@ -225,6 +231,18 @@ def fit(rows: list[tuple[int, int, list[bytes]]], share: float, epochs: int = EP
     return Model(p)
 
 
+def _telling(p: dict, words: list[bytes], ids: np.ndarray, mask: np.ndarray, y: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows go on: those of label 0, and of each document of label 1 its highest and the others that speak for it.
+
+    A toxic document has clean windows too, which its label would teach wrongly.
+    """
+    projected = project(p, word_inputs(p, words))
+    found = np.concatenate([logits(p, projected, ids[at : at + GROUP], mask[at : at + GROUP]) for at in range(0, len(ids), GROUP)])
+    highest = np.full(int(doc.max()) + 1, -np.inf)
+    np.maximum.at(highest, doc, found)
+    return np.flatnonzero((y == 0) | (found >= highest[doc]) | (found > 0))
+
+
 def in_calibration(doc: int) -> bool:
     """Whether a document, by its number, gives the line and not the network."""
     return zlib.crc32(str(doc).encode()) % 5 == 0
