@@ -121,13 +121,6 @@ def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     return same.union(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose nodes aren't in one component yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")).hint("merge"), end, "left")
-    return pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-
-
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs that stay when each group of near copies keeps one row; columns as in docs.
 
@@ -136,9 +129,9 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     smallest doc_id, nulls last; of rows with equal doc_id any one.
     Null and empty texts, and texts of white space only, are one group.
 
-    Every link is verified on the texts. First come the pairs that SimHash links, by the
-    probes of unequal thresholds, up to ``distance`` bits. That many bits can't reach all texts of the similarity, so
-    each member of a MinHash bucket is then compared with the bucket's smallest; last, where that left a bucket in several
+    Every link is verified on the texts. Compared are the pairs that SimHash links, by the
+    probes of unequal thresholds, up to ``distance`` bits, and, as that many bits can't reach all texts of the similarity,
+    each member of a MinHash bucket with the bucket's smallest; then, where that left a bucket in several
     components, all pairs of different components whose minima allow it.
     """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -149,18 +142,15 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     nodes = materialise(named.select(F.col("who.row").alias("node"), "who", "fp", "bands", "low"), "nodes")
     texts = rows.select(F.col("_row").alias("node"), utf8().alias("text"))
 
-    tried = materialise(_fingerprint_pairs(nodes, distance), "pairs")
-    verified = _verified(tried, texts, width, similarity)
-    parts = connected_components(verified)
-
     keys = nodes.select("node", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     members = materialise(keys.join(pivots.hint("merge"), "key"), "members")
-    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(_across(pairs, parts).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    tried, verified = tried.union(pairs), verified.union(_verified(pairs, texts, width, similarity))
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    # Both kinds of pairs are verified together, so that texts are shuffled once.
+    tried = materialise(_fingerprint_pairs(nodes, distance).union(pairs).distinct(), "pairs")
+    verified = _verified(tried, texts, width, similarity)
 
-    parts = connected_components(verified)
+    parts = materialise(connected_components(verified), "components")
     placed = materialise(members.select("key", "node").join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     left = placed.join(mixed.hint("merge"), "key", "left_semi").join(nodes.select("node", "low").hint("merge"), "node")
