@@ -8,11 +8,10 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import filter_values, map_values, materialise
 
 #: Words: ASCII digits and letters, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,20 +84,22 @@ def _automaton(items: list[tuple[str, str]], width: int) -> Automaton:
     return _cache[key]
 
 
-def _scan(broadcast, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(broadcast.value, width)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                found = words(text)
-                spans, names = automaton.scan(found)
-                places = [(m.start(), m.end()) for m in _find(text.translate(_lower))] if spans else []
-                original = [[places[a][0], places[b - 1][1]] for a, b in spans]
-                rows.append((len(found), sum(b - a for a, b in spans), [list(s) for s in spans], original, sorted(names)))
-            yield pd.concat([pdf.drop(columns="text").reset_index(drop=True), pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "offsets", "items"])], axis=1)
+_FOUND = "n_words long, n_hit long, spans array<array<long>>, offsets array<array<long>>, items array<string>"
 
-    return run
+
+def _scan(shared, width: int):
+    def make(texts: list[str | None]) -> list[list]:
+        automaton = _automaton(shared.value, width)
+        rows = []
+        for text in texts:
+            found = words(text)
+            spans, names = automaton.scan(found)
+            places = [(m.start(), m.end()) for m in _find(text.translate(_lower))] if spans else []
+            original = [[places[a][0], places[b - 1][1]] for a, b in spans]
+            rows.append((len(found), sum(b - a for a, b in spans), [list(s) for s in spans], original, sorted(names)))
+        return [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
+
+    return make
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
@@ -125,11 +126,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("doc_id"), "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    out = "n_words long, n_hit long, spans array<array<long>>, offsets array<array<long>>, items array<string>"
     only, parts = _blocks_ahead(benchmark, limit)
     if only is not None:
-        return source.mapInPandas(_scan(spark.sparkContext.broadcast(only), width), f"doc_id {kind}, {out}")
+        return map_values(source, "text", _FOUND, _scan(spark.sparkContext.broadcast(only), width))
     # Rows get a number of their own, as ids may be null or repeat.
     source = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "texts")
     merged = _scan_blocks(source.select("_row", "text"), parts, width)
@@ -148,11 +147,10 @@ def _scan_blocks(source: DataFrame, parts: Iterator[list[tuple[str, str]]], widt
 
     Each block's hits are written before the next block is taken, and its broadcast is released.
     """
-    out = "_row long, n_words long, n_hit long, spans array<array<long>>, offsets array<array<long>>, items array<string>"
     found = []
     for k, part in enumerate(parts):
         shared = source.sparkSession.sparkContext.broadcast(part)
-        hits = source.mapInPandas(_scan(shared, width), out)
+        hits = map_values(source, "text", _FOUND, _scan(shared, width))
         # The first block brings every row, the others those that they hit.
         found.append(materialise(hits.where("n_hit > 0") if k else hits, "hits"))
         shared.destroy()
@@ -168,7 +166,7 @@ def _scan_blocks(source: DataFrame, parts: Iterator[list[tuple[str, str]]], widt
         """Sorted spans, overlapping and touching ones joined."""
         last = lambda acc: F.element_at(acc, -1)
         grow = lambda acc, s: F.when((F.size(acc) > 0) & (s[0] <= F.element_at(last(acc), 2)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last(acc)[0], F.greatest(F.element_at(last(acc), 2), s[1]))))).otherwise(F.concat(acc, F.array(s)))
-        return F.aggregate(F.array_sort(column), F.lit([]).cast("array<array<bigint>>"), grow)
+        return F.aggregate(F.array_sort(column), F.lit([]).cast("array<array<long>>"), grow)
 
     merged = merged.withColumn("spans", joined("spans")).withColumn("offsets", joined("offsets"))
     return merged.select("_row", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0]).alias("n_hit"), "spans", "offsets", "items")
@@ -191,15 +189,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ra
     )
 
 
-def _keep(broadcast, width: int, ratio: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(broadcast.value, width)
-        for pdf in batches:
-            found = [words(t) for t in pdf["text"]]
-            hits = [sum(b - a for a, b in automaton.scan(f)[0]) for f in found]
-            yield pdf[[not (h and ratio * h >= len(f)) for h, f in zip(hits, found, strict=True)]]
+def _clean(shared, width: int, ratio: int):
+    def keep(texts: list[str | None]) -> list[bool]:
+        automaton = _automaton(shared.value, width)
+        found = [words(t) for t in texts]
+        hits = [sum(b - a for a, b in automaton.scan(f)[0]) for f in found]
+        return [not (h and ratio * h >= len(f)) for h, f in zip(hits, found, strict=True)]
 
-    return run
+    return keep
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ratio: int = RATIO, limit: int = BLOCK_CHARS) -> DataFrame:
@@ -210,7 +207,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     """
     only, parts = _blocks_ahead(benchmark, limit)
     if only is not None:
-        return docs.mapInPandas(_keep(docs.sparkSession.sparkContext.broadcast(only), width, ratio), docs.schema)
+        return filter_values(docs, "text", _clean(docs.sparkSession.sparkContext.broadcast(only), width, ratio))
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = _scan_blocks(rows.select("_row", "text"), parts, width)
     bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).select("_row")
@@ -224,9 +221,9 @@ bw AS (SELECT DISTINCT item, n, array_to_string(ws[k:k + n - 1], ' ') AS win FRO
 ns AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, n, k, array_to_string(ws[k:k + n - 1], ' ') AS win FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, ns WHERE len(ws) >= n)),
 h AS (SELECT r, dw.n, k, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
-c AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM h) GROUP BY r),
-i AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+c AS (SELECT r, count(DISTINCT p)::LONG AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM h) GROUP BY r),
+i AS (SELECT r, count(*)::LONG AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(ws)::LONG AS n_words, coalesce(n_hit, 0)::LONG AS n_hit, coalesce(n_items, 0)::LONG AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN c USING (r) LEFT JOIN i USING (r)
 """

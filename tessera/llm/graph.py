@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, release
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,14 +26,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: larger neighbours of a node go to the smallest node around it.
         both = stars.union(stars.select("b", "a"))
-        least = materialise(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "minima")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        first = materialise(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "minima")
+        large = both.where("b > a").join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours, and the node itself, go to the smallest of them.
         large = materialise(large.where("a <> b").distinct(), "large")
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        stars = materialise(after, "edges")
+        before, stars = stars, materialise(after, "edges")
+        release(before, first, large, least)
         ends = stars.select(F.col("a").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")).union(stars.select("b", F.lit(0), F.lit(1)))
         seen = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
         if seen.where("low > 1 or low = 1 and top = 1").isEmpty():

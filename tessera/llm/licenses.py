@@ -24,7 +24,7 @@ SENTENCES: dict[str, int] = {
     "this software is provided by the copyright holders and contributors as is": 12,
     "all rights reserved": 13,
 }
-# Ordered rules (licence, sentence identifiers that follow each other, whether use is permitted). The first that fits a place wins.
+# Ordered rules (licence, sentence identifiers that follow each other, whether use is permitted). The longest that fits a place takes it.
 RULES: tuple[tuple[str, tuple[int, ...], bool], ...] = (
     ("Apache-2.0", (4, 5), True),
     ("Apache-2.0", (4,), True),
@@ -32,8 +32,8 @@ RULES: tuple[tuple[str, tuple[int, ...], bool], ...] = (
     ("MIT", (1,), True),
     ("BSD", (11, 12), True),
     ("BSD", (11,), True),
-    ("GPL-3.0", (7, 8), False),
     ("GPL-3.0", (6,), False),
+    ("GPL", (7, 8), False),
     ("GPL", (7,), False),
     ("CC-BY-NC-4.0", (9,), False),
     ("CC-BY-4.0", (10,), True),
@@ -44,15 +44,15 @@ NOTICES: dict[str, tuple[int, ...]] = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": (2,),
     "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": (3,),
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": (4, 5),
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": (7,),
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": (7,),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": (15,),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": (15,),
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": (14,),
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": (14,),
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": (8,),
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": (12,),
 }
-#: Version 2 of the GPL has an identifier of its own, as (7, 8) means version 3.
-NOTICE_RULES: tuple[tuple[str, tuple[int, ...], bool], ...] = (("GPL", (14,), False),)
+#: Notices that name the version of the GPL have identifiers of their own.
+NOTICE_RULES: tuple[tuple[str, tuple[int, ...], bool], ...] = (("GPL-3.0", (15, 8), False), ("GPL-3.0", (15,), False), ("GPL", (14, 8), False), ("GPL", (14,), False))
 #: Marks of a line's end and of a sentence's end in a normalised text.
 LINE, STOP = "\n", "\x01"
 
@@ -75,6 +75,15 @@ def _joined(x: Column, flat: Column, forms: Mapping[str, str]) -> Column:
     return F.when(some, out).otherwise(x)
 
 
+def _longest_first(rules: Sequence[tuple[str, tuple[int, ...], bool]]) -> list[tuple[int, tuple[int, ...]]]:
+    """Numbers and identifiers of the rules, the longest first; rules of one length in their order."""
+    return sorted(((k, ids) for k, (_, ids, _) in enumerate(rules)), key=lambda r: -len(r[1]))
+
+
+def _sequence(ids: Sequence[int]) -> str:
+    return "".join(f"<{k}>" for k in ids)
+
+
 def scan_licenses(docs: DataFrame, sentences: Mapping[str, int] = SENTENCES, rules: Sequence[tuple[str, tuple[int, ...], bool]] = RULES + NOTICE_RULES, notices: Mapping[str, tuple[int, ...]] = NOTICES) -> DataFrame:
     """Rows (doc_id, n_sentences, n_known, sentence_ids, licenses, primary_license, permitted), one for each row of docs.
 
@@ -99,9 +108,11 @@ def scan_licenses(docs: DataFrame, sentences: Mapping[str, int] = SENTENCES, rul
     found = docs.select("doc_id", _normalised("text").alias("x")).withColumn("flat", F.translate("x", LINE, " "))
     found = found.select("doc_id", F.filter(F.split(_joined(F.col("x"), F.col("flat"), forms), r"[\n\x01]"), lambda s: s != "").alias("s"))
     found = found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.transform("s", lambda s: F.coalesce(F.try_element_at(table, s), F.lit(0))).alias("ids"))
-    line = F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), F.lit(" "))
+    line = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))), "")
+    for k, ids in _longest_first(rules):
+        line = F.replace(line, F.lit(_sequence(ids)), F.lit(f"{{{k}}}"))
     found = found.select("doc_id", "n_sentences", F.filter("ids", lambda x: x > 0).alias("sentence_ids"), line.alias("line"))
-    fits = [(name, ok, F.col("line").contains(" " + " ".join(map(str, ids)) + " ")) for name, ids, ok in rules]
+    fits = [(name, ok, F.col("line").contains(f"{{{k}}}")) for k, (name, _, ok) in enumerate(rules)]
     named = F.filter(F.array(*[F.when(hit, F.struct(F.lit(name).alias("name"), F.lit(ok).alias("ok"))) for name, ok, hit in fits]), lambda x: x.isNotNull())
     found = found.withColumn("named", named)
     return found.select(
@@ -113,16 +124,19 @@ def scan_licenses(docs: DataFrame, sentences: Mapping[str, int] = SENTENCES, rul
 
 def _oracle() -> str:
     known = ", ".join(f"('{s}', {n})" for s, n in SENTENCES.items())
-    rules = ", ".join(f"({k}, '{name}', ' {' '.join(map(str, ids))} ', {str(ok).lower()})" for k, (name, ids, ok) in enumerate(RULES))
+    rules = ", ".join(f"({k}, '{name}', '{{{k}}}', {str(ok).lower()})" for k, (name, _, ok) in enumerate(RULES))
+    line = "string_agg('<' || coalesce(id, 0)::VARCHAR || '>', '' ORDER BY p)"
+    for k, ids in _longest_first(RULES):
+        line = f"replace({line}, '{_sequence(ids)}', '{{{k}}}')"
     return rf"""
-WITH k(s, id) AS (VALUES {known}), rules(o, name, ids, ok) AS (VALUES {rules}),
+WITH k(s, id) AS (VALUES {known}), rules(o, name, mark, ok) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?]+(\s|$)', chr(10), 'g'), '\n'),
   lambda x: trim(regexp_replace(x, '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
 u AS (SELECT r, unnest(s) AS s, unnest(range(len(s))) AS p FROM d),
-m AS (SELECT r, ' ' || string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY p) || ' ' AS line, count(id) AS n_known, string_agg(id::VARCHAR, ',' ORDER BY p) FILTER (id IS NOT NULL) AS ids FROM u LEFT JOIN k ON u.s = k.s GROUP BY r),
-f AS (SELECT r, name, min(o) AS o, bool_and(ok) AS ok FROM m JOIN rules ON contains(line, rules.ids) GROUP BY r, name),
+m AS (SELECT r, {line} AS line, count(id) AS n_known, string_agg(id::VARCHAR, ',' ORDER BY p) FILTER (id IS NOT NULL) AS ids FROM u LEFT JOIN k ON u.s = k.s GROUP BY r),
+f AS (SELECT r, name, min(o) AS o, bool_and(ok) AS ok FROM m JOIN rules ON contains(line, rules.mark) GROUP BY r, name),
 g AS (SELECT r, string_agg(name, ',' ORDER BY o) AS licenses, arg_min(name, o) AS primary_license, bool_and(ok) AS permitted FROM f GROUP BY r)
-SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, primary_license, permitted
+SELECT doc_id, len(s)::LONG AS n_sentences, coalesce(n_known, 0)::LONG AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, primary_license, permitted
 FROM d LEFT JOIN m USING (r) LEFT JOIN g USING (r)
 """
 

@@ -171,20 +171,20 @@ def sample_mix(docs: DataFrame, weight: Column | None = None, weights: Sequence[
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS LONG)::DOUBLE + 0.5) / 4503599627370496.0)
       / CASE WHEN length(text) > 0 THEN 0.25 + 1.75 * (length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))::DOUBLE / length(text)) ELSE 1.0 END AS key
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::LONG AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, CASE WHEN most <= level * weight THEN most ELSE min(CASE WHEN most > level * weight THEN level END) OVER () * weight END AS target FROM l),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::LONG AS epochs FROM t),
 r AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
+    sum(size) OVER (PARTITION BY d.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::LONG AS upto
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 p AS (SELECT *, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS short FROM r),
 e AS (SELECT source, min({'off': abs(size - short), 'key': key}) AS x FROM p WHERE upto > rest AND size > 0 AND abs(size - short) < short GROUP BY source),
 f AS (SELECT p.*, CASE WHEN e.x.key = p.key AND count(*) OVER (PARTITION BY p.source, p.key) = 1 THEN 1 ELSE 0 END AS extra FROM p LEFT JOIN e ON p.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, source, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN upto <= rest THEN 1 ELSE extra END))::BIGINT AS taken FROM f
+SELECT doc_id, source, size::LONG AS size, source_size, target, (size * (epochs + CASE WHEN upto <= rest THEN 1 ELSE extra END))::LONG AS taken FROM f
 """

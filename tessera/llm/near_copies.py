@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, n_partitions, utf8
+from tessera.llm.common import materialise, n_partitions, release, utf8
 from tessera.llm.graph import connected_components
 from tessera.llm.simhash import links, of_hashes, shingle_hashes
 
@@ -21,8 +21,10 @@ WIDTH, SIMILARITY = 5, 0.8
 DISTANCE = 3
 #: Bands and minima of each: a pair at similarity 0.8 shares no band in (1 - 0.8^4)^24 = 3 of a million cases.
 BANDS, ROWS = 24, 4
-#: Pairs whose minima agree in a smaller share aren't verified: over six standard errors below 0.8.
-LEAST_AGREEMENT = 0.55
+#: Bins of a sketch, a byte each, and by how many standard errors a pair's sketches may fall short of the similarity.
+BINS, ERRORS = 512, 4.5
+#: How many of its likeliest partners a member is compared with in each further round; the last round takes all.
+PARTNERS = (1, 16, None)
 #: Shingles hashed at a time.
 SLICE = 1 << 12
 
@@ -44,6 +46,27 @@ def minima(found: np.ndarray) -> np.ndarray:
     return low
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A byte for each bin of sorted hashes, from the smallest hash in it; 0 for an empty bin. Short texts lose next to nothing."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (found >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]]) if len(bins) else bins
+    out[bins[first]] = (found[first] * _TIMES[0] >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def likely(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Estimated similarity of one sketch to others; 0 where it falls so short that the sets can hardly have the similarity.
+
+    The bins are a sample of the union without replacement, so the error vanishes where it is small.
+    """
+    used = np.maximum(((others > 0) | (one > 0)).sum(axis=1), 1)
+    share = ((others == one) & (one > 0)).sum(axis=1) / used
+    union = np.maximum((sizes + size) / (1 + similarity), 1)
+    error = np.sqrt(similarity * (1 - similarity) / used * np.clip(1 - used / union, 0, 1))
+    return np.where(share >= similarity - ERRORS * error - 2 / used, share, 0)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sorted sets; of two empty ones it is 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -59,8 +82,8 @@ def _signatures(width: int):
                 found = np.unique(every)
                 low = minima(found)
                 bands = [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(found) else []
-                rows.append((xxhash.xxh3_128_digest(found.tobytes()), np.uint64(of_hashes(every)).view(np.int64), np.array(bands, np.uint64).view(np.int64), low.astype(np.uint16).tobytes()))
-            yield pd.concat([pdf[["_row"]].reset_index(drop=True), pd.DataFrame(rows, columns=["content", "fp", "bands", "low"])], axis=1)
+                rows.append((xxhash.xxh3_128_digest(found.tobytes()), np.uint64(of_hashes(every)).view(np.int64), np.array(bands, np.uint64).view(np.int64), sketch(found), len(found)))
+            yield pd.concat([pdf[["_row"]].reset_index(drop=True), pd.DataFrame(rows, columns=["content", "fp", "bands", "low", "size"])], axis=1)
 
     return run
 
@@ -84,31 +107,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     used = materialise(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node", "left_semi"), "compared")
     two = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     two = two.join(used.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    return materialise(two.select("a", "b", "text_a", "text_b").mapInPandas(_linked(width, similarity), "a long, b long"), "verified")
+    found = materialise(two.select("a", "b", "text_a", "text_b").mapInPandas(_linked(width, similarity), "a long, b long"), "verified")
+    release(used)
+    return found
 
 
-def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within buckets, which lie together, whose minima agree often enough."""
-    held = None
-    for pdf in itertools.chain(batches, [None]):
-        held = pdf if held is None else held if pdf is None else pd.concat([held, pdf], ignore_index=True)
-        if held is None or not len(held):
-            continue
-        key = held["key"].to_numpy()
-        # The last bucket may go on in the next batch.
-        end = len(held) if pdf is None else int(np.argmax(key == key[-1]))
-        cuts = np.r_[0, np.flatnonzero(key[1:end] != key[: max(0, end - 1)]) + 1, end] if end else np.zeros(1, int)
-        for start, stop in itertools.pairwise(cuts):
-            part = held.iloc[start:stop]
-            node, comp = part["node"].to_numpy(), part["component"].to_numpy()
-            low = np.frombuffer(b"".join(part["low"]), np.uint16).reshape(len(part), -1)
-            names, back, count = np.unique(comp, return_inverse=True, return_counts=True)
-            # A pair of different components has a member outside the largest one.
-            for k in np.flatnonzero(back != count.argmax()):
-                near = np.flatnonzero((comp != comp[k]) & ((low == low[k]).mean(axis=1) >= LEAST_AGREEMENT))
-                if len(near):
-                    yield pd.DataFrame({"a": np.minimum(node[near], node[k]), "b": np.maximum(node[near], node[k])})
-        held = held.iloc[end:].reset_index(drop=True)
+def _cross_pairs(similarity: float, partners: int | None):
+    """Pairs of different components within buckets, which lie together: each member outside the largest component with its likeliest partners."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in itertools.chain(batches, [None]):
+            held = pdf if held is None else held if pdf is None else pd.concat([held, pdf], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            key = held["key"].to_numpy()
+            # The last bucket may go on in the next batch.
+            end = len(held) if pdf is None else int(np.argmax(key == key[-1]))
+            cuts = np.r_[0, np.flatnonzero(key[1:end] != key[: max(0, end - 1)]) + 1, end] if end else np.zeros(1, int)
+            for start, stop in itertools.pairwise(cuts):
+                part = held.iloc[start:stop]
+                node, comp, size = part["node"].to_numpy(), part["component"].to_numpy(), part["size"].to_numpy()
+                low = np.frombuffer(b"".join(part["low"]), np.uint8).reshape(len(part), -1)
+                _, back, count = np.unique(comp, return_inverse=True, return_counts=True)
+                # A pair of different components has a member outside the largest one.
+                for k in np.flatnonzero(back != count.argmax()):
+                    share = np.where(comp != comp[k], likely(low[k], size[k], low, size, similarity), 0)
+                    near = np.flatnonzero(share)
+                    if partners is not None and len(near) > partners:
+                        near = near[np.argsort(-share[near], kind="stable")[:partners]]
+                    if len(near):
+                        yield pd.DataFrame({"a": np.minimum(node[near], node[k]), "b": np.maximum(node[near], node[k])})
+            held = held.iloc[end:].reset_index(drop=True)
+
+    return run
 
 
 def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
@@ -131,33 +163,44 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
 
     Every link is verified on the texts. Compared are the pairs that SimHash links, by the
     probes of unequal thresholds, up to ``distance`` bits, and, as that many bits can't reach all texts of the similarity,
-    each member of a MinHash bucket with the bucket's smallest; then, where that left a bucket in several
-    components, all pairs of different components whose minima allow it.
+    each member of a MinHash bucket with two others of it, the smallest and the one in most company; then, where that left a bucket in several
+    components, members with their likeliest partners in other components by sketches, in rounds, the last with all that are likely.
     """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    signed = materialise(rows.select("_row", utf8().alias("text")).mapInPandas(_signatures(width), "_row long, content binary, fp long, bands array<long>, low binary"), "signatures")
+    signed = materialise(rows.select("_row", utf8().alias("text")).mapInPandas(_signatures(width), "_row long, content binary, fp long, bands array<long>, low binary, size long"), "signatures")
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     # Rows of equal shingles are one node, named by the row that they keep.
-    named = signed.join(rows.select("_row", "doc_id").hint("merge"), "_row").groupBy("content").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low"))
-    nodes = materialise(named.select(F.col("who.row").alias("node"), "who", "fp", "bands", "low"), "nodes")
+    named = signed.join(rows.select("_row", "doc_id").hint("merge"), "_row").groupBy("content").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("size").alias("size"))
+    nodes = materialise(named.select(F.col("who.row").alias("node"), "who", "fp", "bands", "low", "size"), "nodes")
     texts = rows.select(F.col("_row").alias("node"), utf8().alias("text"))
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = materialise(keys.join(pivots.hint("merge"), "key"), "members")
-    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    # The text from which copies were made shares more buckets with them than they share with each other.
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = members.select("key", "node").join(weight.hint("merge"), "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    ends = members.select("node", F.col("pivot").alias("end")).union(members.join(hubs.hint("merge"), "key").select("node", F.col("hub").alias("end")))
+    pairs = ends.where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
     # Both kinds of pairs are verified together, so that texts are shuffled once.
     tried = materialise(_fingerprint_pairs(nodes, distance).union(pairs).distinct(), "pairs")
     verified = _verified(tried, texts, width, similarity)
 
     parts = materialise(connected_components(verified), "components")
-    placed = materialise(members.select("key", "node").join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = placed.join(mixed.hint("merge"), "key", "left_semi").join(nodes.select("node", "low").hint("merge"), "node")
-    dealt = left.repartition(n_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    more = materialise(dealt.select("key", "node", "component", "low").mapInPandas(_cross_pairs, "a long, b long").distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        parts = connected_components(verified.union(_verified(more, texts, width, similarity)))
+    for partners in PARTNERS:
+        placed = materialise(members.select("key", "node").join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        left = placed.join(mixed.hint("merge"), "key", "left_semi").join(nodes.select("node", "low", "size").hint("merge"), "node")
+        dealt = left.repartition(n_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+        found = dealt.select("key", "node", "component", "low", "size").mapInPandas(_cross_pairs(similarity, partners), "a long, b long").distinct()
+        more = materialise(found.join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
+        release(placed)
+        if more.isEmpty():
+            # Rounds before the last may have left out partners that were tried.
+            continue
+        tried, verified = tried.union(more), verified.union(_verified(more, texts, width, similarity))
+        parts = materialise(connected_components(verified), "components")
     groups = nodes.select("node", "who").join(parts.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("who").alias("who"))
     stay = materialise(groups.select(F.col("who.row").alias("_row")), "stay")
+    release(signed, nodes, members)
     return rows.join(stay.hint("merge"), "_row", "left_semi").select(docs.columns)

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import materialise, utf8
+from tessera.llm.common import map_values, materialise, n_partitions, release, utf8
 
 #: Words of a repeated passage at least, and of the grams among which minimisers are chosen.
 MIN_WORDS, GRAM = 50, 8
@@ -18,6 +21,8 @@ MIN_WORDS, GRAM = 50, 8
 FIRST = 18
 #: Words hashed at a time; a longer text is hashed alone.
 CHUNK = 1 << 19
+#: About how many rows of a sorted range one task compares.
+RANGE_ROWS = 1_000_000
 _EVEN, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -88,24 +93,79 @@ def _suffixes(least: int, first: int):
 
 
 def _candidates(least: int, first: int):
-    """Passages of ``least`` words that hold a repeated suffix among their first places: row, doc_id, start, hash."""
+    """Passages of ``least`` words that hold a repeated suffix among their first places: place and hash of each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, starts, keys = [], [], []
-            for k, (body, places) in enumerate(zip(pdf["body"], pdf["places"], strict=True)):
-                passage = gram_hashes(word_hashes(body.split()), least)
-                at = np.unique((np.asarray(places, np.int64)[:, None] - np.arange(first)).ravel())
-                at = at[(at >= 0) & (at < len(passage))]
-                rows.append(np.full(len(at), k))
-                starts.append(at)
-                keys.append(passage[at].view(np.int64))
-            if rows:
-                yield pdf[["row", "doc_id"]].iloc[np.concatenate(rows)].assign(start=np.concatenate(starts).astype(np.int32), key=np.concatenate(keys))
+    def make(batch: list[dict]) -> list[pa.Array]:
+        places, keys, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [0]
+        for x in batch:
+            passage = gram_hashes(word_hashes(x["body"].split()), least)
+            at = np.unique((np.asarray(x["places"], np.int64)[:, None] - np.arange(first)).ravel())
+            at = at[(at >= 0) & (at < len(passage))]
+            places.append(at.astype(np.int32))
+            keys.append(passage[at].view(np.int64))
+            ends.append(ends[-1] + len(at))
+        found = pa.StructArray.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(keys))], names=["place", "key"])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)]
+
+    return make
+
+
+def _runs(kind: pa.DataType):
+    """Rows of one range, sorted by key: those with an equal neighbour, with the least holder of their run.
+
+    A run at an end of the range may go on in another one: its rows are pending (state 1, with their key), and one row
+    (state 2) tells its key, its size (as row) and its least holder.
+    """
+    out = pa.schema({"row": pa.int64(), "place": pa.int32(), "key": pa.int64(), "first": kind, "state": pa.int8()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        held = pa.Table.from_batches(parts)
+        key, row, place = (held.column(c).to_numpy() for c in ("key", "row", "place"))
+        # Holders by number, in their order; a null one comes after all.
+        names = pc.unique(held.column("holder").drop_null())
+        names = names.take(pc.sort_indices(names))
+        number = pc.fill_null(pc.index_in(held.column("holder"), value_set=names), len(names)).to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        least = np.minimum.reduceat(number, starts)
+        inside = np.ones(len(starts), bool)
+        inside[[0, -1]] = False
+        of = np.repeat(np.arange(len(starts)), sizes)
+        sure, open_ = np.flatnonzero((inside & (sizes > 1))[of]), np.flatnonzero(~inside[of])
+        ends = np.unique([0, len(starts) - 1])
+        first = lambda k: names.take(pa.array(k, mask=k == len(names)))
+        nulls = lambda n, t: pa.nulls(n, t)
+        for columns in (
+            (pa.array(row[sure]), pa.array(place[sure]), nulls(len(sure), pa.int64()), first(least[of[sure]]), 0),
+            (pa.array(row[open_]), pa.array(place[open_]), pa.array(key[open_]), nulls(len(open_), kind), 1),
+            (pa.array(sizes[ends]), nulls(len(ends), pa.int32()), pa.array(key[starts[ends]]), first(least[ends]), 2),
+        ):
+            n = len(columns[0])
+            arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, columns[-1], np.int8))], schema=out)
 
     return run
 
 
+def neighbours(df: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """Rows (row, place, first) of df (key, row, place, holder) whose key another row has; first is the least holder of the key.
+
+    Rows are sorted over all ranges by key, then place in the corpus, so a key that very many rows have goes over many ranges, and each row is
+    compared with its neighbours. What lies at the ends of ranges is settled from two runs of each range, no more.
+    """
+    spark, kind = df.sparkSession, df.schema["holder"].dataType
+    ranges = max(n_partitions(spark), -(-df.count() // rows_per_range))
+    dealt = df.repartitionByRange(ranges, "key", "row", "place").sortWithinPartitions("key")
+    marked = materialise(dealt.mapInArrow(_runs(to_arrow_type(kind)), f"row long, place int, key long, first {kind.simpleString()}, state byte"), "marked")
+    # Two rows of each range at most.
+    settled = marked.where("state = 2").groupBy("key").agg(F.sum("row").alias("n"), F.min("first").alias("least")).where("n > 1").select("key", "least")
+    pending = marked.where("state = 1").select("row", "place", "key").join(F.broadcast(settled), "key").select("row", "place", F.col("least").alias("first"))
+    return marked.where("state = 0").select("row", "place", "first").union(pending)
+
+
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (row, doc_id, n_words), one for each row of docs, and spans (row, start, end, first_doc_id), in words.
 
@@ -114,21 +174,18 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, first: int = FIRS
     first_doc_id is the smallest doc_id that holds one of the span's passages.
 
     Each text's sparse suffix array holds its suffixes at minimisers only. Every passage has a minimiser
-    among its first places, chosen by content alone, so equal passages keep the same suffix. Suffixes meet
-    sorted by the words that follow; those without an equal neighbour go. The rest are
-    extended to the left and right: all passages around them are compared over
-    their whole length. No group is held by one task: equal keys are counted, on both sides of the shuffle.
+    among its first places, chosen by content alone, so equal passages keep the same suffix. All suffixes are
+    sorted by a hash of the words that any passage holds from there on, and those without an equal neighbour go. The rest are
+    extended to the left and right: all passages around them are sorted and compared over their whole length in the same way.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", utf8().alias("body")), "texts")
     kept = materialise(texts.select("row", "body").mapInPandas(_suffixes(least, first), "row long, place int, key long"), "suffixes")
-    twice = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = kept.join(twice, "key", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
-    around = texts.join(near, "row")
-    passages = materialise(around.mapInPandas(_candidates(least, first), f"row long, doc_id {kind}, start int, key long"), "passages")
-    # The smallest id names the first holder.
-    holders = passages.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").select("key", "first_doc_id")
-    hits = passages.join(holders, "key").select("row", "start", "first_doc_id")
+    twice = neighbours(kept.withColumn("holder", F.lit(0).cast("int")))
+    near = twice.groupBy("row").agg(F.collect_list("place").alias("places"))
+    passages = materialise(map_values(texts.join(near, "row").select("row", F.col("doc_id").alias("holder"), F.struct("body", "places").alias("x")), "x", "found array<struct<place:int,key:long>>", _candidates(least, first)).select("row", "holder", F.inline("found")), "passages")
+    release(kept)
+    hits = neighbours(passages).select("row", F.col("place").alias("start"), F.col("first").alias("first_doc_id"))
     w = Window.partitionBy("row").orderBy("start")
     gap = (F.col("start") > F.lag("start").over(w) + least).cast("int")
     runs = hits.withColumn("run", F.sum(F.coalesce(gap, F.lit(1))).over(w))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import utf8
+from tessera.llm.common import map_values, utf8
 
 #: Words sorted at a time; texts are sorted together up to this many, and a longer text alone.
 CHUNK = 1 << 18
@@ -37,7 +34,7 @@ def repeat_lengths(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     first = np.r_[True, key[order][1:] != key[order][:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    levels, step = [rank.copy()], 1
+    levels, step = [rank.astype(np.int32)], 1
     while True:
         sizes = np.bincount(rank, minlength=n)
         tied = np.flatnonzero(sizes[rank] > 1)
@@ -54,7 +51,7 @@ def repeat_lengths(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         part = np.maximum.accumulate(np.where(np.r_[True, (old[1:] != old[:-1]) | (second[1:] != second[:-1])], at, 0))
         rank[by] = old + part - group
         step *= 2
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))
     suffixes = np.argsort(rank)
     i, j = suffixes[:-1], suffixes[1:]
     common = np.zeros(n - 1, np.int64)
@@ -96,22 +93,21 @@ def repetition(texts: list[list[bytes]], width: int = WIDTH, least: int = MIN_RE
 
 
 def _measure(width: int, least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found: list[tuple[int, int, int, int]] = []
-            group: list[list[bytes]] = []
-            held = 0
-            for body in [*pdf["body"], None]:
-                words = body.split() if body is not None else []
-                if group and (body is None or held + len(words) > CHUNK):
-                    found += [(len(t), *r) for t, r in zip(group, repetition(group, width, least), strict=True)]
-                    group, held = [], 0
-                if body is not None:
-                    group.append(words)
-                    held += len(words)
-            yield pd.concat([pdf.drop(columns="body").reset_index(drop=True), pd.DataFrame(found, columns=["n_words", "n_repeat_words", "n_covered", "longest_repeat"])], axis=1)
-
-    return run
+    def make(bodies: list[bytes]) -> list[list[int]]:
+        found: list[tuple[int, int, int, int]] = []
+        group: list[list[bytes]] = []
+        held = 0
+        for body in [*bodies, None]:
+            words = body.split() if body is not None else []
+            if group and (body is None or held + len(words) > CHUNK):
+                found += [(len(t), *r) for t, r in zip(group, repetition(group, width, least), strict=True)]
+                group, held = [], 0
+            if body is not None:
+                group.append(words)
+                held += len(words)
+        return [list(x) for x in zip(*found, strict=True)] or [[]] * 4
+
+    return make
 
 
 def quality_rules(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST, least: int = MIN_REPEAT) -> DataFrame:
@@ -133,8 +129,7 @@ def quality_rules(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest:
         "doc_id", utf8().alias("body"), F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = counts.mapInPandas(_measure(WIDTH, least), f"doc_id {kind}, word_chars long, n_symbols long, n_dup_lines long, n_words long, n_repeat_words long, n_covered long, longest_repeat long")
+    measured = map_values(counts, "body", "n_words long, n_repeat_words long, n_covered long, longest_repeat long", _measure(WIDTH, least))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_WORDS * F.col("n_words"))
     fine = (100 * F.col("n_covered") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", base.alias("base_failed"), (~base & fine).alias("kept"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from tessera.llm.common import materialise, utf8
+from tessera.llm.common import materialise, release, utf8
 
 SHARDS = 16
 #: Steps of a histogram by which a median is found, and how often a step is divided again.
@@ -18,25 +20,28 @@ ROWS_PER_SLOT_GROUP = 200_000
 SPAN = 1 << 62
 
 
-def _text_coordinate(name: str) -> Column:
-    """A string's place in code-point order, from its first seven bytes; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long") + 1, F.lit(0).cast("long"))
-
-
 def coordinates(docs: DataFrame, dimensions: list[str]) -> list[Column]:
-    """One whole number per dimension; numbers keep their order, other types their order as text."""
-    out = []
-    for d in dimensions:
-        kind = docs.schema[d].dataType.simpleString()
-        whole = kind in ("tinyint", "smallint", "int", "bigint")
-        out.append(F.coalesce(F.col(d).cast("long"), F.lit(-1).cast("long")) if whole else _text_coordinate(d) if kind == "string" else _text_coordinate_of(F.col(d)))
-    return out
+    """One whole number per dimension, null the lowest; whole numbers keep their order, all else its order as text.
+
+    A text counts by the seven bytes after what all texts of the dimension begin with, so a shared prefix
+    (``https://www.``) takes no room. Texts that agree in those too have one coordinate.
+    """
+    whole = {d for d in dimensions if isinstance(docs.schema[d].dataType, (ByteType, ShortType, IntegerType, LongType))}
+    texts = [d for d in dimensions if d not in whole]
+    shared: dict[str, int] = {}
+    if texts:
+        ends = [f(F.col(d).cast("string").cast("binary")).alias(f"{n}_{d}") for d in texts for n, f in (("lo", F.min), ("hi", F.max))]
+        r = docs.agg(*ends).first()
+        # What the least and the greatest text begin with, all between them do.
+        shared = {d: len(os.path.commonprefix([bytes(r[f"lo_{d}"] or b""), bytes(r[f"hi_{d}"] or b"")])) for d in texts}
 
+    def place(d: str) -> Column:
+        if d in whole:
+            return F.coalesce(F.col(d).cast("long"), F.lit(-1).cast("long"))
+        head = F.rpad(F.hex(F.substring(F.col(d).cast("string").cast("binary"), shared[d] + 1, 7)), 14, "0")
+        return F.coalesce(F.conv(head, 16, 10).cast("long") + 1, F.lit(0).cast("long"))
 
-def _text_coordinate_of(value: Column) -> Column:
-    head = F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long") + 1, F.lit(0).cast("long"))
+    return [place(d) for d in dimensions]
 
 
 @dataclass
@@ -133,7 +138,7 @@ def kd_tree(docs: DataFrame, dimensions: list[str], leaves: int = SHARDS) -> Dat
         F.crc32(body).alias("text_crc32"),
         # Rows of equal text follow each other; a shift keeps the value clear of overflow.
         F.shiftright(F.xxhash64(body), 2).alias("tie_text"),
-        F.shiftright(F.xxhash64(F.xxhash64(body), "doc_id"), 2).alias("tie_row"),
+        F.shiftright(F.xxhash64("doc_id", F.monotonically_increasing_id()), 2).alias("tie_row"),
         *[c.alias(f"x{k}") for k, c in enumerate(coordinates(docs, dimensions))],
         F.lit(0).alias("node"),
     )
@@ -158,7 +163,8 @@ def kd_tree(docs: DataFrame, dimensions: list[str], leaves: int = SHARDS) -> Dat
             left = (x < n.cut[0]) | ((x == n.cut[0]) & (tie <= n.cut[1]))
             branch.append(F.when(place == n.id, F.when(left, F.lit(len(after))).otherwise(F.lit(len(after) + 1))))
             after += [Node(len(after), n.leaves // 2, 0), Node(len(after) + 1, n.leaves - n.leaves // 2, 0)]
-        rows = materialise(rows.withColumn("node", F.coalesce(*branch)), "rows")
+        before, rows = rows, materialise(rows.withColumn("node", F.coalesce(*branch)), "rows")
+        release(before)
         nodes, place = after, F.col("node")
     return rows.select("doc_id", "size", "text_crc32", tie.alias("tie"), "node")
 
@@ -174,8 +180,8 @@ def shard_documents(docs: DataFrame, dimensions: list[str] | None = None, shards
     Null text has no bytes: size 1 and checksum 0, like an empty text. A null
     coordinate is the lowest. Rows that are equal in a cut's dimension are divided by
     a hash of the text and then of the row, so one value may hold all rows, and
-    copies of one text mostly stay together. Wholly equal rows can't be divided and
-    share a shard. Other columns are ignored; an empty table gives no rows.
+    copies of one text mostly stay together. Equal rows are told apart by a number given on
+    reading, so one row repeated many times is divided too. Other columns are ignored; an empty table gives no rows.
     """
     if dimensions is None:
         dimensions = [c for c in ("source", "lang", "n_chars") if c in docs.columns] or ["doc_id"]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, n_partitions, utf8
+from tessera.llm.common import map_values, materialise, n_partitions, release, utf8
 from tessera.llm.graph import connected_components
 
 #: Fingerprint bits, and at most how many may differ between linked fingerprints.
@@ -53,19 +53,10 @@ def of_hashes(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def _fingerprints(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, width) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
-
-    return run
-
-
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and 64-bit fingerprint (as a signed long) of every row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8().alias("text")).mapInPandas(_fingerprints(width), f"doc_id {kind}, fp long")
+    make = lambda texts: [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
+    return map_values(docs.select("doc_id", utf8().alias("text")), "text", "fp long", make)
 
 
 def _bit_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,4 +282,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE) -
     labelled = materialise(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "labelled")
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = materialise(labelled.join(least, "component").select("fp", "component_id"), "names")
+    release(distinct, labelled)
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

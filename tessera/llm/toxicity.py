@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import filter_values, map_values, materialise
 
 #: Words of a window, and from one window's start to the next; windows overlap by the difference.
 WINDOW, STRIDE = 32, 16
@@ -296,7 +296,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         part = usable.where(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
         chosen = part if chosen is None else chosen.union(part)
     # At most twice sample_docs rows of two numbers, so the broadcast is bounded.
-    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Of rows with one id one is learnt from, so the sample stays bounded.
+    texts = materialise(joined.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
     rows = texts.mapInPandas(_sample_windows, "doc string, toxic int, words binary").collect()
     names = sorted({r.doc for r in rows})
     place = {d: k for k, d in enumerate(names)}
@@ -317,7 +319,7 @@ def _highest(broadcast):
         model, held = broadcast.value
         for pdf in batches:
             mine = pdf[[str(d) in held for d in pdf["doc_id"]]]
-            yield pd.DataFrame({"doc": mine["doc_id"].astype(str), "toxic": mine["toxic"], "highest": _by_text(lambda t: highest_logits(model, t), mine["text"])})
+            yield pd.DataFrame({"doc": mine["doc_id"].astype(str), "toxic": mine["toxic"], "highest": _by_text(lambda t: highest_logits(model, t), list(mine["text"]))})
 
     return run
 
@@ -356,11 +358,7 @@ def score_texts(model: Model, texts: Iterator[str | None]) -> np.ndarray:
     return model.score(highest_logits(model, texts))
 
 
-def _score_column(model, texts: pd.Series) -> np.ndarray:
-    return _by_text(lambda t: score_texts(model, t), texts)
-
-
-def _by_text(value, texts: pd.Series) -> np.ndarray:
+def _by_text(value, texts: list) -> np.ndarray:
     """value of every text, about two million characters at a time."""
     out, group, size = [], [], 0
     for t in texts:
@@ -372,12 +370,8 @@ def _by_text(value, texts: pd.Series) -> np.ndarray:
     return np.concatenate([*out, value(iter(group))])
 
 
-def _score(broadcast):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.drop(columns="text").assign(score=_score_column(broadcast.value, pdf["text"]))
-
-    return run
+def _scores(shared, texts: list) -> np.ndarray:
+    return _by_text(lambda t: score_texts(shared.value, t), texts)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -394,18 +388,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     table gives no rows. A task holds one batch of texts, and the windows of about two million characters at a time.
     """
     model = model or train(docs, labels)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    scored = rows.mapInPandas(_score(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = map_values(rows, "text", "score double", lambda texts: [_scores(shared, texts)])
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, columns as in docs."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[_score_column(shared.value, pdf["text"]) < threshold]
-
-    return docs.mapInPandas(run, docs.schema)
+    return filter_values(docs, "text", lambda texts: _scores(shared, texts) < threshold)
