@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Terms of a query.
+#: Fixed value: terms of a query.
 TERM = "[a-zA-Z0-9][a-zA-Z0-9_.:-]*"
 #: Tokens of the index, over lower-cased text.
 TOKEN = "[a-z0-9]+"

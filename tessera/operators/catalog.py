@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +71,27 @@ def first_per(df: DataFrame, n: int, by: str, *order: Column) -> DataFrame:
     """The first n rows of each group; Spark cuts groups before the shuffle."""
     at = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return df.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
+
+
+def cursor(at: Column, key: Column) -> Column:
+    """A page's cursor: its last row's time and id as JSON in URL-safe base64 without padding."""
+    body = F.concat(F.lit('{"created_at":"'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+00:00","id":"'), key.cast("string"), F.lit('"}'))
+    return F.rtrim(F.translate(F.base64(body), "+/=\r\n", "-_ "))
+
+
+def read_cursor(text: str) -> tuple[datetime, str]:
+    """Time and id of a cursor; ValueError if it is none, or if its time has no zone."""
+    try:
+        found = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
+        at, key = datetime.fromisoformat(found["created_at"]), found["id"]
+    except (ValueError, TypeError, KeyError) as e:
+        raise ValueError("not a cursor") from e
+    if at.tzinfo is None or not isinstance(key, str):
+        raise ValueError("not a cursor")
+    return at, key
+
+
+def cursor_allowed(sort: str) -> None:
+    """A cursor goes with the order by creation only."""
+    if sort != "created_at":
+        raise ValueError("a cursor needs the order by created_at")

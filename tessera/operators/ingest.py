@@ -47,8 +47,15 @@ def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.distinct().join(cache.select("content_hash"), "content_hash", "left_anti")
 
 
-def bad_vectors(vectors: DataFrame, dimension: int) -> DataFrame:
-    """Vectors that may not be written, with the reason: null, wrong length, or a value that isn't finite."""
+def bad_vectors(vectors: DataFrame, dimension: int, max_chars: int = 100_000, max_metadata: int = 65_536) -> DataFrame:
+    """Rows that may not be written, with the reason: vector missing, of the wrong length or with a value that isn't finite, text or metadata too long.
+
+    vectors: id, vector, and text and metadata if there are such columns.
+    """
     v = F.col("vector")
     reason = F.when(v.isNull(), "missing").when(F.size(v) != dimension, "dimension").when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not finite")
+    if "text" in vectors.columns:
+        reason = reason.when(F.length("text") > max_chars, "text")
+    if "metadata" in vectors.columns:
+        reason = reason.when(F.octet_length("metadata") > max_metadata, "metadata")
     return vectors.select("id", reason.alias("reason")).where(F.col("reason").isNotNull())

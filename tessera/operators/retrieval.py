@@ -29,8 +29,8 @@ def ranked(df: DataFrame, k: int, *order, by: str = "query_id") -> DataFrame:
     return df.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def _blocks(df: DataFrame, id_col: str, vector: str, side: str, rows: int) -> DataFrame:
-    """Vectors packed into blocks of bounded size, numbered within their partition."""
+def _blocks(df: DataFrame, id_col: str, vector: str, side: str, rows: int, group: str | None = None) -> DataFrame:
+    """Vectors packed into blocks of bounded size, with their ids and whole-number groups."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -40,14 +40,15 @@ def _blocks(df: DataFrame, id_col: str, vector: str, side: str, rows: int) -> Da
                 m = np.stack([np.asarray(v, np.float64) for v in part[vector]])
                 norm = np.linalg.norm(m, axis=1, keepdims=True)
                 m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                yield pd.DataFrame({f"{side}_ids": [ids.tobytes()], f"{side}_m": [m.tobytes()]})
+                yield pd.DataFrame({f"{side}_ids": [ids.tobytes()], f"{side}_m": [m.tobytes()], f"{side}_groups": [part["_group"].to_numpy(np.int64).tobytes()]})
 
-    kept = df.select(id_col, vector).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
-    return kept.mapInPandas(pack, f"{side}_ids binary, {side}_m binary")
+    groups = F.col(group) if group else F.lit(0)
+    kept = df.select(id_col, vector, groups.cast("long").alias("_group")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.col("_group").isNotNull())
+    return kept.mapInPandas(pack, f"{side}_ids binary, {side}_m binary, {side}_groups binary")
 
 
-def vector_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """Exact top k by cosine: query_id, id, rank, score = max(0, cosine).
+def vector_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector: str = "vector", group: str | None = None) -> DataFrame:
+    """Exact top k by cosine: query_id, id, rank, score = max(0, cosine); with a group column, the k best of each group.
 
     Both sides are packed into blocks; each block of rows meets each block of
     queries once, as one matrix product that keeps its k best per query. Only
@@ -58,18 +59,25 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id",
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                q_ids, d_ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.d_ids, np.int64)
+                q_ids, every = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.d_ids, np.int64)
                 q = np.frombuffer(r.q_m, np.float64).reshape(len(q_ids), -1)
-                d = np.frombuffer(r.d_m, np.float64).reshape(len(d_ids), -1)
-                score = np.round(np.maximum(q @ d.T, 0), 9)
-                order = np.lexsort((np.broadcast_to(d_ids, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "id": d_ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+                d = np.frombuffer(r.d_m, np.float64).reshape(len(every), -1)
+                scores = np.round(np.maximum(q @ d.T, 0), 9)
+                groups = np.frombuffer(r.d_groups, np.int64)
+                for g in np.unique(groups):
+                    at = np.flatnonzero(groups == g)
+                    d_ids, score = every[at], scores[:, at]
+                    order = np.lexsort((np.broadcast_to(d_ids, score.shape), -score), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "id": d_ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel(), "_group": g})
 
     q = _blocks(queries, "query_id", vector, "q", QUERY_BLOCK)
-    d = _blocks(rows, id_col, vector, "d", ROW_BLOCK)
+    d = _blocks(rows, id_col, vector, "d", ROW_BLOCK, group)
     # Blocks against blocks: the stated queries against all rows.
-    found = d.crossJoin(q).mapInPandas(best, "query_id long, id long, score double")
-    return ranked(found, k, F.desc("score"), "id")
+    found = d.crossJoin(q.drop("q_groups")).mapInPandas(best, "query_id long, id long, score double, _group long")
+    if group is None:
+        return ranked(found.drop("_group"), k, F.desc("score"), "id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).withColumnRenamed("_group", group)
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -113,10 +121,56 @@ def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", "id", "rank", F.round(F.col("raw") * (RRF_K + 1) / 2, 6).alias("score"))
 
 
-def hybrid_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Vector and keyword search over pools of candidates, fused. queries: query_id, query, vector; rows: id, text, vector."""
+def hybrid_topk(queries: DataFrame, vectors: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Vector and keyword search over pools of candidates, fused. queries: query_id, query, vector; vectors: id, vector; texts: id, text."""
     pool = pool_size(k)
-    return fuse(vector_topk(queries, rows, pool), keyword_topk(queries, rows, pool), k)
+    return fuse(vector_topk(queries, vectors, pool), keyword_topk(queries, texts, pool), k)
+
+
+#: Most queries of a batch, most cases of an evaluation, most ids of a status request.
+MAX_BATCH, MAX_CASES, MAX_IDS = 20, 500, 100
+
+
+def at_most(values: list, most: int, what: str) -> list:
+    """The values, if there aren't too many of them."""
+    if len(values) > most:
+        raise ValueError(f"at most {most} {what}, not {len(values)}")
+    return values
+
+
+def with_defaults(queries: DataFrame, collections: DataFrame) -> DataFrame:
+    """queries (query_id, collection_id, top_k, min_score, mode) with their collection's defaults where they are null; any other mode is semantic."""
+    named = collections.select("collection_id", "default_top_k", "default_min_score", "default_mode")
+    joined = queries.join(named, "collection_id", "left")
+    mode = F.coalesce("mode", "default_mode", F.lit("semantic"))
+    filled = joined.withColumn("top_k", F.coalesce("top_k", "default_top_k", F.lit(10))).withColumn("min_score", F.coalesce("min_score", "default_min_score"))
+    return filled.withColumn("mode", F.when(mode.isin("keyword", "hybrid"), mode).otherwise("semantic")).drop("default_top_k", "default_min_score", "default_mode")
+
+
+def retrieve(queries: DataFrame, vectors: DataFrame, texts: DataFrame, most: int = MAX_TOP_K) -> DataFrame:
+    """Hits (query_id, id, rank, score) of queries that each have a mode, top_k and min_score.
+
+    queries: query_id, query, vector, mode, top_k, min_score. Each mode searches for its own queries; then each query's
+    first top_k stay, and last those of its least score, so fewer may be left.
+    """
+    of = lambda mode: queries.where(F.col("mode") == mode)
+    hits = vector_topk(of("semantic"), vectors, most)
+    for mode, search in (("keyword", lambda q: keyword_topk(q, texts, most)), ("hybrid", lambda q: hybrid_topk(q, vectors, texts, most))):
+        hits = hits.unionByName(search(of(mode)).select("query_id", "id", "rank", "score"))
+    cut = hits.join(queries.select("query_id", "top_k", "min_score"), "query_id").where(F.col("rank") <= F.col("top_k"))
+    return cut.where(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))).select("query_id", "id", "rank", "score")
+
+
+def multi_topk(queries: DataFrame, rows: DataFrame, k: int, min_score: float | None = None, collection: str = "collection") -> DataFrame:
+    """The k best hits of each query over several collections, each of which is searched alone first: query_id, collection, id, rank, score.
+
+    queries: query_id, vector; rows: id, vector, collection. Each collection gives its k best of at least min_score; those are
+    merged, and scores are compared as they are.
+    """
+    pooled = vector_topk(queries, rows, k, group=collection)
+    if min_score is not None:
+        pooled = above(pooled, min_score)
+    return ranked(pooled.drop("rank"), k, F.desc("score"), collection, "id").select("query_id", collection, "id", "rank", "score")
 
 
 def above(hits: DataFrame, min_score: float) -> DataFrame:

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.filters import compile_filter
 from tessera.functions.text import needs_keywords, query_terms
 from tessera.operators import analytics, catalog, ingest, retrieval, sync
+from tessera.plans.registry import ORACLES, QUERIES, query
 from tessera.sources.tables import AS_OF, read_table, read_view, view_sql
 from tessera.streaming.timelines import daily_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 K = 10
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- search by vector -------------------------------------------------------
 
 
@@ -163,10 +147,9 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, r1 NULLS LAST, r2 NULLS LAST) AS rank, round(raw * 61 / 2, 6) AS score FROM g QUALIFY rank <= 10"
 )
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are vectors and texts of one id; a query is a benchmark item with the vector of its id."""
-    found = vectors(spark, sf_dir).select("id", "vector").join(texts(spark, sf_dir), "id", "full")
+    """Vectors and texts are of one id; a query is a benchmark item with the vector of its id."""
     asked = text_queries(spark, sf_dir).join(vector_queries(spark, sf_dir), "query_id", "left")
-    return retrieval.hybrid_topk(asked, found, K)
+    return retrieval.hybrid_topk(asked, vectors(spark, sf_dir), texts(spark, sf_dir), K)
 
 
 @query("SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_.:-]*'), lambda x: length(x) >= 2), ' ') AS terms FROM conversations")
@@ -184,7 +167,7 @@ def mode_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- reports ----------------------------------------------------------------
 
-COUNTS = "count(*) AS docs, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunks, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes, " + ", ".join(
+COUNTS = "count(*) AS docs, CAST(coalesce(sum(chunk_count), 0) AS LONG) AS chunks, CAST(coalesce(sum(token_count), 0) AS LONG) AS tokens, CAST(coalesce(sum(file_size), 0) AS LONG) AS bytes, " + ", ".join(
     f"count(*) FILTER (status = '{s}') AS {s}" for s in analytics.STATES
 )
 
@@ -200,7 +183,7 @@ def platform_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{view_sql('documents_v', 'query_log_v')}, d AS (SELECT lang, count(*) AS docs, CAST(sum(file_size) AS BIGINT) AS bytes, CAST(sum(token_count) AS BIGINT) AS tokens FROM documents_v GROUP BY lang), "
+    f"{view_sql('documents_v', 'query_log_v')}, d AS (SELECT lang, count(*) AS docs, CAST(sum(file_size) AS LONG) AS bytes, CAST(sum(token_count) AS LONG) AS tokens FROM documents_v GROUP BY lang), "
     "q AS (SELECT CASE collection_name WHEN 'view' THEN 'en' WHEN 'click' THEN 'fr' END AS lang, count(*) AS queries, CAST(round(CAST(avg(latency_ms) AS DECIMAL(28, 6)), 2) AS DOUBLE) AS avg_latency FROM query_log_v GROUP BY 1) "
     "SELECT d.lang, docs, bytes, tokens, round(tokens / 1e6 * 0.02, 4) AS cost, coalesce(queries, 0) AS queries, coalesce(avg_latency, 0) AS avg_latency FROM d LEFT JOIN q ON d.lang = q.lang"
 )
@@ -210,7 +193,7 @@ def usage_by_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERIODS = " UNION ALL ".join(
-    f"SELECT CAST({d} AS BIGINT) AS days, count(*) AS queries, coalesce(CAST(round(CAST(avg(latency_ms) AS DECIMAL(28, 6)), 2) AS DOUBLE), 0) AS avg_latency, coalesce(CAST(round(CAST(avg(avg_score) AS DECIMAL(28, 6)), 4) AS DOUBLE), 0) AS avg_score, coalesce(CAST(round(CAST(avg(result_count) AS DECIMAL(28, 6)), 1) AS DOUBLE), 0) AS avg_results FROM query_log_v WHERE created_at > {AS_OF} - INTERVAL {d} DAY HAVING count(*) > 0"
+    f"SELECT CAST({d} AS LONG) AS days, count(*) AS queries, coalesce(CAST(round(CAST(avg(latency_ms) AS DECIMAL(28, 6)), 2) AS DOUBLE), 0) AS avg_latency, coalesce(CAST(round(CAST(avg(avg_score) AS DECIMAL(28, 6)), 4) AS DOUBLE), 0) AS avg_score, coalesce(CAST(round(CAST(avg(result_count) AS DECIMAL(28, 6)), 1) AS DOUBLE), 0) AS avg_results FROM query_log_v WHERE created_at > {AS_OF} - INTERVAL {d} DAY HAVING count(*) > 0"
     for d in (1, 7, 30)
 )
 
@@ -295,7 +278,7 @@ CHUNKS = (
 
 
 @query(
-    "WITH " + CHUNKS + " SELECT concat(doc_id, '_', CAST(f // 512 AS BIGINT)) AS id, doc_id, CAST(f // 512 AS BIGINT) AS chunk_index, sha256(concat(cut, substr(text, f + 1, 512))) AS text_hash, CAST(f - length(cut) AS BIGINT) AS char_start, CAST(least(f + 512, n) AS BIGINT) AS char_end FROM p"
+    "WITH " + CHUNKS + " SELECT concat(doc_id, '_', CAST(f // 512 AS LONG)) AS id, doc_id, CAST(f // 512 AS LONG) AS chunk_index, sha256(concat(cut, substr(text, f + 1, 512))) AS text_hash, CAST(f - length(cut) AS LONG) AS char_start, CAST(least(f + 512, n) AS LONG) AS char_end FROM p"
 )
 def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.window_chunks(read_table(spark, sf_dir, "documents"), 512, 50).withColumn("text_hash", F.sha2("text", 256)).drop("text")
@@ -313,9 +296,15 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.cache_misses(read_table(spark, sf_dir, "documents"), cache)
 
 
-@query("SELECT vec_id AS id, CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimension' ELSE 'not finite' END AS reason FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64 OR NOT list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding])")
+@query(
+    "WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 11 = 0 THEN embedding[1:10] WHEN vec_id % 13 = 0 THEN list_transform(embedding, lambda x: CAST('nan' AS FLOAT)) ELSE embedding END AS vector, repeat('x', CAST(vec_id AS INT)) AS text FROM embeddings) "
+    "SELECT id, CASE WHEN vector IS NULL THEN 'missing' WHEN len(vector) <> 64 THEN 'dimension' WHEN NOT list_bool_and([coalesce(isfinite(x), false) FOR x IN vector]) THEN 'not finite' ELSE 'text' END AS reason FROM v "
+    "WHERE vector IS NULL OR len(vector) <> 64 OR NOT list_bool_and([coalesce(isfinite(x), false) FOR x IN vector]) OR length(text) > 400"
+)
 def vector_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.bad_vectors(vectors(spark, sf_dir), 64)
+    """Vectors of which some were spoilt, and texts of which some are too long."""
+    bad = F.expr("CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN slice(vector, 1, 10) WHEN id % 13 = 0 THEN transform(vector, x -> CAST('NaN' AS FLOAT)) ELSE vector END")
+    return ingest.bad_vectors(vectors(spark, sf_dir).select("id", bad.alias("vector"), F.expr("repeat('x', CAST(id AS INT))").alias("text")), 64, max_chars=400)
 
 
 #: A manifest, and a listing that lost some files, changed some and has some new.
@@ -345,3 +334,7 @@ def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.sync_counters(sync_diff(spark, sf_dir))
+
+
+# The other queries register themselves.
+from tessera.plans import service  # noqa: E402, F401

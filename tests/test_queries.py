@@ -7,7 +7,7 @@ import pytest
 from tessera.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "benchmark", "conversations", "events")
+TABLES = ("documents", "embeddings", "benchmark", "conversations", "events", "supplier", "customer", "orders", "pages")
 
 
 @pytest.fixture(scope="module")
