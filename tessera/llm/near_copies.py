@@ -159,7 +159,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     Two rows are linked if the Jaccard similarity of their sets of shingles is at
     least ``similarity``; a group is a connected component. It keeps the row of its
     smallest doc_id, nulls last; of rows with equal doc_id any one.
-    Null and empty texts, and texts of white space only, are one group.
+    Null and empty texts, and texts of white space only, are one group. An empty table gives no rows.
 
     Every link is verified on the texts. Compared are the pairs that SimHash links, by the
     probes of unequal thresholds, up to ``distance`` bits, and, as that many bits can't reach all texts of the similarity,
@@ -167,6 +167,8 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     components, members with their likeliest partners in other components by sketches, in rounds, the last with all that are likely.
     """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    if rows.isEmpty():
+        return rows.select(docs.columns)
     signed = materialise(rows.select("_row", utf8().alias("text")).mapInPandas(_signatures(width), "_row long, content binary, fp long, bands array<long>, low binary, size long"), "signatures")
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     # Rows of equal shingles are one node, named by the row that they keep.
@@ -190,13 +192,18 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     for partners in PARTNERS:
         placed = materialise(members.select("key", "node").join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
         mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        mixed = materialise(mixed, "mixed")
+        if mixed.isEmpty():
+            break
         left = placed.join(mixed.hint("merge"), "key", "left_semi").join(nodes.select("node", "low", "size").hint("merge"), "node")
         dealt = left.repartition(n_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-        found = dealt.select("key", "node", "component", "low", "size").mapInPandas(_cross_pairs(similarity, partners), "a long, b long").distinct()
+        found = materialise(dealt.select("key", "node", "component", "low", "size").mapInPandas(_cross_pairs(similarity, partners), "a long, b long").distinct(), "likely")
+        if found.isEmpty():
+            break
         more = materialise(found.join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
-        release(placed)
+        release(placed, mixed, found)
         if more.isEmpty():
-            # Rounds before the last may have left out partners that were tried.
+            # All partners of this round were tried; the next one takes more.
             continue
         tried, verified = tried.union(more), verified.union(_verified(more, texts, width, similarity))
         parts = materialise(connected_components(verified), "components")
