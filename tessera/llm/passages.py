@@ -160,10 +160,16 @@ def neighbours(df: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     ranges = max(n_partitions(spark), -(-df.count() // rows_per_range))
     dealt = df.repartitionByRange(ranges, "key", "row", "place").sortWithinPartitions("key")
     marked = materialise(dealt.mapInArrow(_runs(to_arrow_type(kind)), f"row long, place int, key long, first {kind.simpleString()}, state byte"), "marked")
-    # Two rows of each range at most.
-    settled = marked.where("state = 2").groupBy("key").agg(F.sum("row").alias("n"), F.min("first").alias("least")).where("n > 1").select("key", "least")
-    pending = marked.where("state = 1").select("row", "place", "key").join(F.broadcast(settled), "key").select("row", "place", F.col("least").alias("first"))
-    return marked.where("state = 0").select("row", "place", "first").union(pending)
+    # Two rows of each range at most reach the driver.
+    ends = marked.where("state = 2").groupBy("key").agg(F.sum("row").alias("n"), F.min("first").alias("least")).where("n > 1")
+    shared = spark.sparkContext.broadcast({r.key: r.least for r in ends.collect()})
+
+    def settle(keys: list[int]) -> list[list]:
+        least = shared.value
+        return [[least.get(k) for k in keys], [k in least for k in keys]]
+
+    pending = map_values(marked.where("state = 1").select("row", "place", "key"), "key", f"first {kind.simpleString()}, repeated boolean", settle)
+    return marked.where("state = 0").select("row", "place", "first").union(pending.where("repeated").select("row", "place", "first"))
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
