@@ -162,14 +162,13 @@ def neighbours(df: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     marked = materialise(dealt.mapInArrow(_runs(to_arrow_type(kind)), f"row long, place int, key long, first {kind.simpleString()}, state byte"), "marked")
     # Two rows of each range at most reach the driver.
     ends = marked.where("state = 2").groupBy("key").agg(F.sum("row").alias("n"), F.min("first").alias("least")).where("n > 1")
-    shared = spark.sparkContext.broadcast({r.key: r.least for r in ends.collect()})
-
-    def settle(keys: list[int]) -> list[list]:
-        least = shared.value
-        return [[least.get(k) for k in keys], [k in least for k in keys]]
-
-    pending = map_values(marked.where("state = 1").select("row", "place", "key"), "key", f"first {kind.simpleString()}, repeated boolean", settle)
-    return marked.where("state = 0").select("row", "place", "first").union(pending.where("repeated").select("row", "place", "first"))
+    found = [F.lit(x) for r in ends.collect() for x in (r.key, r.least)]
+    sure = F.col("state") == 0
+    if not found:
+        return marked.where(sure).select("row", "place", "first")
+    least = F.create_map(*found)
+    kept = marked.where(sure | ((F.col("state") == 1) & F.map_contains_key(least, F.coalesce("key", F.lit(0).cast("long")))))
+    return kept.select("row", "place", F.when(sure, F.col("first")).otherwise(F.try_element_at(least, F.col("key"))).cast(kind).alias("first"))
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
