@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import clustering, decontaminate, licenses, mixing, passages, quality, sharding, simhash, tokens, topk, toxicity, urls
+from tessera.llm import alignment, clustering, decontaminate, licenses, mixing, passages, quality, sharding, simhash, tokens, topk, toxicity, urls
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,13 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -64,5 +71,5 @@ def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % topk.EVERY == 0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_license_scan, op4_toxicity, op5_kd_shards, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_token_blocks, op10_passage_dedup, op12_centroid_clusters, op13_exact_topk)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_license_scan, op4_toxicity, op5_kd_shards, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_token_blocks, op10_passage_dedup, op11_align_tokenizers, op12_centroid_clusters, op13_exact_topk)}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_decontaminate": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE, "op8_url_filter": urls.ORACLE, "op12_centroid_clusters": clustering.ORACLE, "op13_exact_topk": topk.ORACLE}

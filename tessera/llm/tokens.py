@@ -341,6 +341,12 @@ _BY_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tru
 _ODD = re.compile(r" (?=\s|$)|[^\S\n ]|^\s|\s$|\n\s|\0")
 
 
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer's rules never join what stands before a space to what follows."""
+    spec = json.loads(tokenizer.to_str())
+    return spec["pre_tokenizer"] == _BY_WORDS and not spec["normalizer"] and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+
+
 class _Tokenizer:
     """Ids of texts as little-endian bytes; distinct words are tokenized once and remembered, where that can't change the ids."""
 
@@ -349,11 +355,9 @@ class _Tokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
         newline = self.ids(["\n"])[0]
-        plain = spec["pre_tokenizer"] == _BY_WORDS and not spec["normalizer"] and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
         #: The id of a line end, which no word without one can have.
-        self.newline = int.from_bytes(newline, "little") if plain and len(newline) == 4 else None
+        self.newline = int.from_bytes(newline, "little") if by_words(self.whole) and len(newline) == 4 else None
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
