@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 import uuid
@@ -26,6 +27,8 @@ MERGED, HELD, RANGE_ROWS = 4_000_000, 8_000_000, 2_000_000
 GROUP_CHARS, KNOWN, WORTH = 1_000_000, 150_000, 64
 #: Where no token of either tokenizer goes on: before a space after what isn't white space.
 _BREAK, _LOOSE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s |\0")
+#: Stretches that may be tokenized in one go with a line end between them, which then is a token of its own.
+_PLAIN = re.compile(r" \S+")
 
 
 def byte_level() -> dict[str, int]:
@@ -35,6 +38,17 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64)
+
+
+def _sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of x over groups of n each, one behind the other."""
+    total = np.r_[0, np.cumsum(x)]
+    ends = np.cumsum(n)
+    return total[ends] - total[ends - n]
+
+
 def piece_bytes(piece: str) -> bytes:
     """The bytes of a sentence piece: U+2581 is a space, <0xHH> one byte."""
     if re.fullmatch(r"<0x[0-9A-F]{2}>", piece):
@@ -63,8 +77,12 @@ class Pair:
         self.b_bytes = [piece_bytes(p) for p in pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes))
         self.n_b = len(pieces)
+        #: Every id of A with a comma and with a bar behind it, then every id of B with a comma and with a semicolon.
+        self.signs = np.array([f"{i}{sign}" for n, end in ((len(self.a_bytes), "|"), (self.n_b, ";")) for i in range(n) for sign in (",", end)], object)
+        newline = self.a.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if by_words(self.a) and len(newline) == 1 else None
         self.cut = by_words(self.a) and not any(re.search("[^▁]▁", p) for p in pieces)
-        #: By stretch: ids of A and of B, groups, links, the links' keys (int64), and the groups as text.
+        #: By stretch: ids of A and of B, groups, links, the links' keys (int64), and the groups as text, with a semicolon after each.
         self.known: dict[str, tuple | None] = {}
 
     def stretches(self, text: str) -> list[str]:
@@ -77,38 +95,53 @@ class Pair:
 
     def learn(self, parts: list[str]) -> None:
         """Tokenize and align stretches; those that a tokenizer doesn't give back byte by byte are kept as None."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        sure = []
-        for k, p in enumerate(parts):
-            body = p.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a[k])) == body == b"".join(map(self.b_bytes.__getitem__, b[k])):
-                sure.append(k)
-            else:
-                self.known[p] = None
-        if sure:
-            self._align([parts[k] for k in sure], [a[k] for k in sure], [b[k] for k in sure])
-
-    def _align(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        plain = [p for p in parts if _PLAIN.fullmatch(p)] if self.newline is not None else []
+        if plain:
+            ids = np.array(self.a.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(ids == self.newline)
+            self._learn(plain, ids[ids != self.newline], np.diff(np.r_[0, ends, len(ids)]) - np.r_[0, np.ones(len(ends), np.int64)])
+        odd = [p for p in parts if not _PLAIN.fullmatch(p)] if plain else parts
+        if odd:
+            ids = [e.ids for e in self.a.encode_batch_fast(odd, add_special_tokens=False)]
+            self._learn(odd, _flat(ids), np.array([len(x) for x in ids]))
+
+    def _learn(self, parts: list[str], a: np.ndarray, n_a: np.ndarray) -> None:
+        """Align stretches whose ids of A are known; where any fails, each is held against its own bytes."""
+        lists = self.b.encode([p[1:] for p in parts], num_threads=1)
+        b, n_b = _flat(lists), np.array([len(x) for x in lists])
+        size = np.array([len(p.encode()) for p in parts])
+        same = all(np.array_equal(_sums(sizes[ids], n), size) for sizes, ids, n in ((self.a_size, a, n_a), (self.b_size, b, n_b)))
+        body = "".join(parts).encode()
+        if same and body == b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+            self._align(parts, a, n_a, b, n_b, size)
+            return
+        if len(parts) == 1:
+            self.known[parts[0]] = None
+            return
+        half = len(parts) // 2
+        for lo, hi in ((0, half), (half, len(parts))):
+            at, end = (int(n_a[:k].sum()) for k in (lo, hi))
+            self._learn(parts[lo:hi], a[at:end], n_a[lo:hi])
+
+    def _align(self, parts: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, size: np.ndarray) -> None:
         """All stretches at once, one behind the other: each end of a token of A or B ends one link, each end of both one group."""
-        flat_a, flat_b = (np.fromiter((i for x in y for i in x), np.int64) for y in (a, b))
-        a_ends, b_ends = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.union1d(a_ends, b_ends)
-        keys = flat_a[np.searchsorted(a_ends, ends)] * self.n_b + flat_b[np.searchsorted(b_ends, ends)]
+        keys = a[np.searchsorted(a_ends, ends)] * self.n_b + b[np.searchsorted(b_ends, ends)]
         both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        a_cut, b_cut = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
-        a_text, b_text = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups, i, j = [], 0, 0
-        for p, q in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-            groups.append(f"{','.join(a_text[i:p])}|{','.join(b_text[j:q])}")
-            i, j = p, q
-        last = np.cumsum([len(p.encode()) for p in parts])
-        link_at, group_at = (np.searchsorted(x, last, "right").tolist() for x in (ends, both))
-        link, group = 0, 0
-        for k, p in enumerate(parts):
-            n, m = link_at[k], group_at[k]
-            self.known[p] = (len(a[k]), len(b[k]), m - group, n - link, keys[link:n].tobytes(), ";".join(groups[group:m]))
-            link, group = n, m
+        # The groups as text: each token's number with the sign behind it, A's before B's in every group.
+        a_of, b_of = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        shut = [np.r_[of[1:] != of[:-1], True] for of in (a_of, b_of)]
+        marks = np.r_[a * 2 + shut[0], 2 * len(self.a_bytes) + b * 2 + shut[1]]
+        text = self.signs[marks[np.argsort(np.r_[a_of * 2, b_of * 2 + 1], kind="stable")]].tolist()
+        last = np.cumsum(size)
+        link_at, group_at, text_at = np.searchsorted(ends, last, "right"), np.searchsorted(both, last, "right"), np.cumsum(n_a + n_b).tolist()
+        body, link_ends = keys.tobytes(), (link_at * 8).tolist()
+        counts = zip(n_a.tolist(), n_b.tolist(), np.diff(group_at, prepend=0).tolist(), np.diff(link_at, prepend=0).tolist(), strict=True)
+        link, at = 0, 0
+        for p, four, n, end in zip(parts, counts, link_ends, text_at, strict=True):
+            self.known[p] = (*four, body[link:n], "".join(text[at:end]))
+            link, at = n, end
 
     def documents(self, texts: Sequence[str | None]) -> Iterator[tuple]:
         """For each text: n_a, n_b, n_groups, n_links, groups_sha256, its distinct keys in order, and how many links have each."""
@@ -127,7 +160,7 @@ class Pair:
             links = np.frombuffer(b"".join([f[4] for f in found]), np.int64)
             keys, of = np.unique(links, return_inverse=True)
             many = np.bincount(of, np.repeat(n, [f[3] for f in found]), len(keys)).astype(np.int64)
-            text = ";".join([self.known[p][5] for p in parts])
+            text = "".join([self.known[p][5] for p in parts])[:-1]
             yield *sums, hashlib.sha256(text.encode()).hexdigest(), keys, many
         if len(self.known) > KNOWN:
             self.known.clear()
