@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.filters import compile_filter
 from tessera.functions.text import needs_keywords, query_terms
-from tessera.operators import analytics, catalog, ingest, retrieval, sync
+from tessera.operators import analytics, catalog, ingest, keyword_index, retrieval, sync, vector_index
 from tessera.plans.registry import ORACLES, QUERIES, query
+from tessera.sources.scratch import scratch_folder
 from tessera.sources.tables import AS_OF, read_table, read_view, view_sql
 from tessera.streaming.timelines import daily_counts
 
@@ -45,6 +46,26 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(retrieval.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), K))
 
 
+@query("WITH " + near_sql() + "SELECT query_id, id, rank, score FROM hits")
+def semantic_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, built over all vectors and searched exactly."""
+    path = scratch_folder(spark, "vectors")
+    vector_index.build_index(vectors(spark, sf_dir), path)
+    return _six(vector_index.search_index(spark, path, vector_queries(spark, sf_dir), K))
+
+
+@query("SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def semantic_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate search of the index, tuned on other queries, finds 9 of 10 of the exact hits."""
+    path = scratch_folder(spark, "vectors")
+    vector_index.build_index(vectors(spark, sf_dir), path)
+    others = vectors(spark, sf_dir).where("id % 20 = 10").select(F.col("id").alias("query_id"), "vector")
+    probes = vector_index.probes_for(spark, path, others, K)
+    found = vector_index.search_index(spark, path, vector_queries(spark, sf_dir), K, probes)
+    share = vector_index.recall(found, retrieval.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), K))
+    return share.agg(F.count("*").alias("n_queries"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("reached"))
+
+
 #: Name: (filters, the same in SQL).
 FILTERED = {
     "semantic_filtered_eq": ({"label": 3}, "d.label = 3"),
@@ -136,6 +157,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(retrieval.bm25_topk(text_queries(spark, sf_dir), texts(spark, sf_dir), K))
 
 
+@query("WITH " + bm25_sql(K) + " SELECT query_id, id, br AS rank, round(s, 6) AS score FROM pool")
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored keyword index, built over all documents and then searched."""
+    path = scratch_folder(spark, "keywords")
+    keyword_index.build_keyword_index(texts(spark, sf_dir), path)
+    return _six(keyword_index.search_keyword_index(spark, path, text_queries(spark, sf_dir), K))
+
+
 @query("WITH " + keyword_sql(K) + " SELECT query_id, id, rank, score FROM kwr")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.keyword_topk(text_queries(spark, sf_dir), texts(spark, sf_dir), K)
