@@ -366,4 +366,4 @@ def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other queries register themselves.
-from tessera.plans import service  # noqa: E402, F401
+from tessera.plans import service, streams  # noqa: E402, F401
