@@ -74,8 +74,10 @@ def first_per(df: DataFrame, n: int, by: str, *order: Column) -> DataFrame:
 
 
 def cursor(at: Column, key: Column) -> Column:
-    """A page's cursor: its last row's time and id as JSON in URL-safe base64 without padding."""
-    body = F.concat(F.lit('{"created_at":"'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+00:00","id":"'), key.cast("string"), F.lit('"}'))
+    """A page's cursor: its last row's time, to the microsecond, and id as JSON in URL-safe base64 without padding."""
+    whole = F.date_format(at, "ss.SSSSSS").endswith(".000000")
+    time = F.when(whole, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    body = F.concat(F.lit('{"created_at":"'), time, F.lit('+00:00","id":"'), key.cast("string"), F.lit('"}'))
     return F.rtrim(F.translate(F.base64(body), "+/=\r\n", "-_ "))
 
 

@@ -103,13 +103,21 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(scored, k, F.desc("score"), "id")
 
 
+def rescored(found: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates (query_id, id, rank) with the share of query terms they hold (query_id, id, bm25_rank, score); those that hold none go."""
+    terms = queries.select("query_id", query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
+    held = found.select("query_id", "id", F.col("rank").alias("bm25_rank")).join(terms, "query_id").join(docs.select("id", "text"), "id")
+    return held.select("query_id", "id", "bm25_rank", keyword_fraction(F.col("text"), F.col("terms")).alias("score")).where(F.col("score") > 0)
+
+
+def by_keyword(candidates: DataFrame, k: int) -> DataFrame:
+    """The k best of rescored candidates; ties keep the BM25 order."""
+    return ranked(candidates, k, F.desc("score"), "bm25_rank").drop("bm25_rank")
+
+
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int, pool: int | None = None) -> DataFrame:
     """BM25 candidates rescored by the share of query terms they hold; ties keep the BM25 order."""
-    found = bm25_topk(queries, docs, pool or k).select("query_id", "id", F.col("rank").alias("bm25_rank"))
-    terms = queries.select("query_id", query_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    scored = found.join(terms, "query_id").join(docs.select("id", "text"), "id").withColumn("score", keyword_fraction(F.col("text"), F.col("terms")))
-    kept = scored.where(F.col("score") > 0).select("query_id", "id", "bm25_rank", "score")
-    return ranked(kept, k, F.desc("score"), "bm25_rank").drop("bm25_rank")
+    return by_keyword(rescored(bm25_topk(queries, docs, pool or k), queries, docs), k)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
@@ -147,18 +155,29 @@ def with_defaults(queries: DataFrame, collections: DataFrame) -> DataFrame:
     return filled.withColumn("mode", F.when(mode.isin("keyword", "hybrid"), mode).otherwise("semantic")).drop("default_top_k", "default_min_score", "default_mode")
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, texts: DataFrame, most: int = MAX_TOP_K) -> DataFrame:
+def retrieve(queries: DataFrame, vectors: DataFrame, texts: DataFrame) -> DataFrame:
     """Hits (query_id, id, rank, score) of queries that each have a mode, top_k and min_score.
 
-    queries: query_id, query, vector, mode, top_k, min_score. Each mode searches for its own queries; then each query's
+    queries: query_id, query, vector, mode, top_k, min_score. Each mode searches for its own queries: by keyword, each query's own top_k BM25
+    candidates are rescored; hybrid search fuses pools of 5 x its own top_k. No top_k or pool goes beyond MAX_TOP_K. Then each query's
     first top_k stay, and last those of its least score, so fewer may be left.
     """
-    of = lambda mode: queries.where(F.col("mode") == mode)
-    hits = vector_topk(of("semantic"), vectors, most)
-    for mode, search in (("keyword", lambda q: keyword_topk(q, texts, most)), ("hybrid", lambda q: hybrid_topk(q, vectors, texts, most))):
-        hits = hits.unionByName(search(of(mode)).select("query_id", "id", "rank", "score"))
-    cut = hits.join(queries.select("query_id", "top_k", "min_score"), "query_id").where(F.col("rank") <= F.col("top_k"))
-    return cut.where(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))).select("query_id", "id", "rank", "score")
+    asked = queries.withColumn("top_k", F.least(F.col("top_k"), F.lit(MAX_TOP_K)))
+    of = lambda mode: asked.where(F.col("mode") == mode)
+
+    def first(hits: DataFrame, times: int = 1) -> DataFrame:
+        """Each query's own number of hits."""
+        own = asked.select("query_id", F.least(F.col("top_k") * times, F.lit(MAX_TOP_K)).alias("own"))
+        return hits.join(own, "query_id").where(F.col("rank") <= F.col("own")).drop("own")
+
+    def keyword(q: DataFrame, times: int = 1) -> DataFrame:
+        return by_keyword(rescored(first(bm25_topk(q, texts, MAX_TOP_K), times), q, texts), MAX_TOP_K)
+
+    hybrid = fuse(first(vector_topk(of("hybrid"), vectors, MAX_TOP_K), 5), keyword(of("hybrid"), 5), MAX_TOP_K)
+    shape = ("query_id", "id", "rank", "score")
+    hits = vector_topk(of("semantic"), vectors, MAX_TOP_K).select(*shape).unionByName(keyword(of("keyword")).select(*shape)).unionByName(hybrid.select(*shape))
+    cut = first(hits).join(asked.select("query_id", "min_score"), "query_id")
+    return cut.where(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))).select(*shape)
 
 
 def multi_topk(queries: DataFrame, rows: DataFrame, k: int, min_score: float | None = None, collection: str = "collection") -> DataFrame:

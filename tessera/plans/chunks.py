@@ -1,0 +1,36 @@
+"""Queries of the chunkers, as operators and as SQL functions, against recursive SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.operators import chunk_functions
+from tessera.plans.chunk_sql import paragraph_sql, recursive_sql
+from tessera.plans.registry import query
+from tessera.sources.tables import read_table
+
+SIZE, OVERLAP = 300, 40
+#: The given texts have no blank lines, so some of their sentences' ends become some. Spark and DuckDB both take this.
+TEXT = "SELECT doc_id, replace(replace(text, 'en. ', concat('en.', chr(10), chr(10), ' ')), 'er. ', concat('er.', chr(10), chr(10), chr(10))) AS text FROM {}"
+
+
+def _sql_chunks(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    chunk_functions.register(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql(sql.format(TEXT.format("{docs}")), docs=docs)
+
+
+def _shared(sql: str) -> str:
+    return f"SELECT doc_id, chunk_index, text, char_start, char_end FROM ({sql})"
+
+
+@query(_shared(paragraph_sql(TEXT.format("documents"), SIZE, OVERLAP)))
+def sql_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by a LATERAL join with the table function."""
+    return _sql_chunks(spark, sf_dir, f"SELECT t.doc_id, c.chunk_index, c.chunk AS text, c.char_start, c.char_end FROM ({{}}) t, LATERAL chunk_text(t.text, {SIZE}, {OVERLAP}, 'paragraph') c")
+
+
+@query(_shared(recursive_sql(TEXT.format("documents"), SIZE, OVERLAP)))
+def sql_recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by the table function over the whole table, partitioned by document."""
+    return _sql_chunks(spark, sf_dir, f"SELECT doc_id, chunk_index, chunk AS text, char_start, char_end FROM chunk_table(TABLE({{}}) PARTITION BY (doc_id), {SIZE}, {OVERLAP}, 'recursive')")

@@ -181,6 +181,24 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid_topk(asked, vectors(spark, sf_dir), texts(spark, sf_dir), K)
 
 
+@query(
+    "WITH " + near_sql("q.vec_id IN (SELECT item_id FROM benchmark)", 35) + ", " + keyword_sql(35) + ", asks AS (SELECT item_id AS item, m, item_id * 3 + m AS query_id, 3 + m * 2 AS k FROM benchmark, range(3) r(m) WHERE item_id % 20 = 0), "
+    "sem AS (SELECT a.query_id, id, rank, score FROM asks a JOIN hits h ON h.query_id = item WHERE m = 0 AND rank <= k), "
+    "key AS (SELECT a.query_id, id, row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, br) AS rank, score FROM asks a JOIN kw ON kw.query_id = item WHERE m = 1 AND br <= k AND score > 0), "
+    "both_ AS (SELECT a.query_id, k, id, rank AS r1, NULL AS r2 FROM asks a JOIN hits h ON h.query_id = item WHERE m = 2 AND rank <= 5 * k "
+    "UNION ALL SELECT a.query_id, k, id, NULL, row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, br) FROM asks a JOIN kw ON kw.query_id = item WHERE m = 2 AND br <= 5 * k AND score > 0), "
+    "f AS (SELECT query_id, k, id, min(r1) AS r1, min(r2) AS r2 FROM both_ GROUP BY query_id, k, id), g AS (SELECT *, round(coalesce(1 / (60 + r1), 0.0::DOUBLE) + coalesce(1 / (60 + r2), 0.0::DOUBLE), 12) AS raw FROM f), "
+    "hyb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, r1 NULLS LAST, r2 NULLS LAST) AS rank, round(raw * 61 / 2, 6) AS score FROM g QUALIFY rank <= k) "
+    "SELECT * FROM sem UNION ALL SELECT * FROM key UNION ALL SELECT * FROM hyb"
+)
+def retrieve_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query by vector, by keyword and by both, each with its own top_k."""
+    asked = text_queries(spark, sf_dir).join(vector_queries(spark, sf_dir), "query_id", "left")
+    modes = F.posexplode(F.array(F.lit("semantic"), F.lit("keyword"), F.lit("hybrid"))).alias("m", "mode")
+    each = asked.select("query_id", "query", "vector", modes).select((F.col("query_id") * 3 + F.col("m")).alias("query_id"), "query", "vector", "mode", (3 + F.col("m") * 2).cast("long").alias("top_k"), F.lit(None).cast("double").alias("min_score"))
+    return _six(retrieval.retrieve(each, vectors(spark, sf_dir), texts(spark, sf_dir)))
+
+
 @query("SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_.:-]*'), lambda x: length(x) >= 2), ' ') AS terms FROM conversations")
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(query_terms(F.col("text")), " ").alias("terms"))
@@ -366,4 +384,4 @@ def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other queries register themselves.
-from tessera.plans import service, streams  # noqa: E402, F401
+from tessera.plans import chunks, service, streams  # noqa: E402, F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import query_terms
 from tessera.operators import access, analytics, catalog, chunkers, context, ingest, retrieval, snapshots
+from tessera.plans.chunk_sql import paragraph_sql, recursive_sql
 from tessera.plans.registry import query
 from tessera.sources import files
 from tessera.sources.tables import AS_OF, read_table, read_view, view_sql
@@ -116,12 +117,14 @@ def unseen_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.crossJoin(F.broadcast(last)).where(~F.col("source").eqNullSafe(F.col("last"))).select("doc_id")
 
 
-_MESSAGE = "concat(coalesce(event_type, ''), ' failed: Connection timeout, api_key=', repeat('k', 45), ' and sk-abcdefgh', CAST(event_id AS VARCHAR(20)))"
+_CAUSE = "CASE event_id % 7 WHEN 0 THEN 'Connection timeout' WHEN 1 THEN 'HTTP 401' WHEN 2 THEN 'quota exceeded' WHEN 3 THEN 'Network down' WHEN 4 THEN 'invalid URL' WHEN 5 THEN 'broke' ELSE 'Unauthorized after timeout' END"
+_MESSAGE = f"concat(coalesce(event_type, ''), ' failed: ', {_CAUSE}, ', api_key=', repeat('k', 45), ' and sk-abcdefgh', CAST(event_id AS VARCHAR(20)))"
 
 
 @query(
-    f"WITH m AS (SELECT event_id, {_MESSAGE} AS m FROM events) SELECT event_id, substr(regexp_replace(regexp_replace(m, 'sk-ant-[A-Za-z0-9_-]{{8,}}|sk-[A-Za-z0-9_-]{{8,}}|AIza[0-9A-Za-z_-]{{20,}}', '[REDACTED]', 'g'), '(?i)(api[_-]?key|authorization|bearer)([\"''\\s:=]+)([A-Za-z0-9_\\-]{{40,}})', '\\1\\2[REDACTED]', 'g'), 1, 500) AS message, "
-    "CASE WHEN contains(lower(m), '401') OR contains(lower(m), 'unauthor') THEN 'auth_failed' WHEN contains(lower(m), '429') OR contains(lower(m), 'rate') OR contains(lower(m), 'quota') THEN 'rate_limited' ELSE 'timeout' END AS kind FROM m"
+    f"WITH m AS (SELECT event_id, {_MESSAGE} AS m FROM events), c AS (SELECT event_id, substr(regexp_replace(regexp_replace(m, 'sk-ant-[A-Za-z0-9_-]{{8,}}|sk-[A-Za-z0-9_-]{{8,}}|AIza[0-9A-Za-z_-]{{20,}}', '[REDACTED]', 'g'), '(?i)(api[_-]?key|authorization|bearer)([\"''\\s:=]+)([A-Za-z0-9_\\-]{{40,}})', '\\1\\2[REDACTED]', 'g'), 1, 500) AS message FROM m) "
+    "SELECT event_id, message, CASE WHEN regexp_matches(lower(message), '401|unauthor') THEN 'auth_failed' WHEN regexp_matches(lower(message), '429|rate|quota') THEN 'rate_limited' WHEN regexp_matches(lower(message), 'timeout') THEN 'timeout' "
+    "WHEN regexp_matches(lower(message), 'connection|network') THEN 'unreachable' WHEN regexp_matches(lower(message), 'invalid url') THEN 'misconfigured' ELSE 'unknown' END AS kind FROM c"
 )
 def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "events").select("event_id", F.expr(_MESSAGE).alias("m"))
@@ -243,7 +246,7 @@ def documents_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT event_id, replace(replace(rtrim(to_base64(encode(concat('{\"created_at\":\"', strftime(ts, '%Y-%m-%dT%H:%M:%S'), '+00:00\",\"id\":\"', CAST(event_id AS VARCHAR), '\"}'))), '='), '+', '-'), '/', '_') AS cursor FROM events")
+@query("SELECT event_id, replace(replace(rtrim(to_base64(encode(concat('{\"created_at\":\"', strftime(ts, '%Y-%m-%dT%H:%M:%S'), CASE WHEN date_part('microseconds', ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END, '+00:00\",\"id\":\"', CAST(event_id AS VARCHAR), '\"}'))), '='), '+', '-'), '/', '_') AS cursor FROM events")
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", catalog.cursor(F.col("ts"), F.col("event_id")).alias("cursor"))
 
@@ -347,19 +350,27 @@ def _chunked(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     return made.withColumn("text_hash", F.sha2("text", 256)).drop("text")
 
 
-@query()
+def _chunk_oracle(sql: str) -> str:
+    return f"SELECT concat(doc_id, '_', chunk_index) AS id, doc_id, chunk_index, char_start, char_end, sha256(text) AS text_hash FROM ({sql})"
+
+
+@query(_chunk_oracle(paragraph_sql("SELECT doc_id, text FROM documents", 512, 50)))
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(spark, sf_dir, "paragraph")
 
 
-@query()
+@query(_chunk_oracle(recursive_sql("SELECT doc_id, text FROM documents", 512, 50)))
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(spark, sf_dir, "recursive")
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]')")
+#: The given texts are never blank: some are made so.
+_BLANKED = "CASE doc_id % 50 WHEN 7 THEN concat(' ', chr(9), chr(10)) WHEN 8 THEN NULL WHEN 9 THEN '' ELSE text END AS text"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_BLANKED} FROM documents) WHERE text IS NULL OR NOT regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]')")
 def documents_without_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id", _BLANKED)
     return chunkers.without_chunks(docs, chunkers.chunk_documents(docs, 512)).select("doc_id")
 
 
@@ -463,7 +474,7 @@ def retrieve_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     filled = retrieval.with_defaults(given, collections(spark, sf_dir))
     texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.retrieve(filled, _vectors(spark, sf_dir), texts, 50).withColumn("score", F.round("score", 6))
+    return retrieval.retrieve(filled, _vectors(spark, sf_dir), texts).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_NEAR}, h AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM near QUALIFY rank <= 10) SELECT query_id, count(*) AS n_results, round(avg(round(s, 6)), 4) AS avg_score FROM h GROUP BY 1")

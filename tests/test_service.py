@@ -58,6 +58,9 @@ def test_cursors_come_back(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5), "k?>")], "at timestamp, key string")
     text = df.select(catalog.cursor(F.col("at"), F.col("key"))).first()[0]
     assert catalog.read_cursor(text) == (datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc), "k?>") and "=" not in text
+    for at in (datetime(2024, 1, 2, 3, 4, 5, 123456), datetime(2024, 1, 2, 3, 4, 5, 900000)):
+        text = spark.createDataFrame([(at, "1")], "at timestamp, key string").select(catalog.cursor(F.col("at"), F.col("key"))).first()[0]
+        assert catalog.read_cursor(text) == (at.replace(tzinfo=timezone.utc), "1")
     for bad in ("", "!!", "e30", "eyJjcmVhdGVkX2F0IjoiMjAyNC0wMS0wMVQwMDowMDowMCIsImlkIjoiMSJ9"):
         with pytest.raises(ValueError):
             catalog.read_cursor(bad)
@@ -128,7 +131,7 @@ def test_modes_search_for_their_own_queries(spark):
     collections = spark.createDataFrame([(1, 2, None, "semantic")], "collection_id long, default_top_k long, default_min_score double, default_mode string")
     filled = retrieval.with_defaults(asked, collections)
     got = {}
-    for r in retrieval.retrieve(filled, vectors, texts, 10).orderBy("query_id", "rank").collect():
+    for r in retrieval.retrieve(filled, vectors, texts).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got[1] == [1, 2] and got[2] == [1] and got[4] == [1, 2] and set(got[3]) <= {1, 2, 3}
     with pytest.raises(ValueError):
