@@ -137,7 +137,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 def _blocks_ahead(benchmark: DataFrame, limit: int) -> tuple[list[tuple[str, str]] | None, Iterator[list[tuple[str, str]]]]:
     """The only block, or None and all blocks; they are taken one by one."""
-    parts = blocks(benchmark, limit) if limit else iter([[]])
+    if limit < 1:
+        raise ValueError("a block holds at least one character")
+    parts = blocks(benchmark, limit)
     ahead = list(itertools.islice(parts, 2))
     return (ahead[0] if len(ahead) == 1 else None), itertools.chain(ahead, parts)
 
@@ -208,10 +210,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     only, parts = _blocks_ahead(benchmark, limit)
     if only is not None:
         return filter_values(docs, "text", _clean(docs.sparkSession.sparkContext.broadcast(only), width, ratio))
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = _scan_blocks(rows.select("_row", "text"), parts, width)
+    # Columns of docs stay in a struct, so that none can clash with the row's number.
+    rows = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    found = _scan_blocks(rows.select("_row", F.col("doc.text").alias("text")), parts, width)
     bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))).select("_row")
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    return rows.join(bad, "_row", "left_anti").select("doc.*")
 
 
 ORACLE = r"""

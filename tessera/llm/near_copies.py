@@ -166,15 +166,17 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     each member of a MinHash bucket with two others of it, the smallest and the one in most company; then, where that left a bucket in several
     components, members with their likeliest partners in other components by sketches, in rounds, the last with all that are likely.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # Columns of docs stay in a struct, so that none can clash with the row's number.
+    rows = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")), "rows")
     if rows.isEmpty():
-        return rows.select(docs.columns)
-    signed = materialise(rows.select("_row", utf8().alias("text")).mapInPandas(_signatures(width), "_row long, content binary, fp long, bands array<long>, low binary, size long"), "signatures")
+        return rows.select("doc.*")
+    signed = materialise(rows.select("_row", utf8("doc.text").alias("text")).mapInPandas(_signatures(width), "_row long, content binary, fp long, bands array<long>, low binary, size long"), "signatures")
+    ids = rows.select("_row", F.col("doc.doc_id").alias("doc_id"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     # Rows of equal shingles are one node, named by the row that they keep.
-    named = signed.join(rows.select("_row", "doc_id").hint("merge"), "_row").groupBy("content").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("size").alias("size"))
+    named = signed.join(ids.hint("merge"), "_row").groupBy("content").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("size").alias("size"))
     nodes = materialise(named.select(F.col("who.row").alias("node"), "who", "fp", "bands", "low", "size"), "nodes")
-    texts = rows.select(F.col("_row").alias("node"), utf8().alias("text"))
+    texts = rows.select(F.col("_row").alias("node"), utf8("doc.text").alias("text"))
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -210,4 +212,4 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     groups = nodes.select("node", "who").join(parts.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("who").alias("who"))
     stay = materialise(groups.select(F.col("who.row").alias("_row")), "stay")
     release(signed, nodes, members)
-    return rows.join(stay.hint("merge"), "_row", "left_semi").select(docs.columns)
+    return rows.join(stay.hint("merge"), "_row", "left_semi").select("doc.*")

@@ -21,6 +21,8 @@ MIN_WORDS, GRAM = 50, 8
 FIRST = 18
 #: Words hashed at a time; a longer text is hashed alone.
 CHUNK = 1 << 19
+#: Rows of a group at most, which is one row of an intermediate table.
+GROUP_ROWS = 1 << 16
 #: About how many rows of a sorted range one task compares.
 RANGE_ROWS = 1_000_000
 _EVEN, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -111,12 +113,13 @@ def _candidates(least: int, first: int):
 
 
 def _runs(kind: pa.DataType):
-    """Rows of one range, sorted by key: those with an equal neighbour, with the least holder of their run.
+    """Rows of one range, sorted by key, in groups: those with an equal neighbour, with the least holder of their run.
 
-    A run at an end of the range may go on in another one: its rows are pending (state 1, with their key), and one row
-    (state 2) tells its key, its size (as row) and its least holder.
+    A run at an end of the range may go on in another one: it is pending, even if it is a single row, in groups of its own with
+    its key, their sizes and its least holder. All other runs' rows are packed together, each with its least holder.
     """
-    out = pa.schema({"row": pa.int64(), "place": pa.int32(), "key": pa.int64(), "first": kind, "state": pa.int8()})
+    lists = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(kind)
+    out = pa.schema({"rows": lists[0], "places": lists[1], "firsts": lists[2], "key": pa.int64(), "n": pa.int64(), "least": kind})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -133,19 +136,25 @@ def _runs(kind: pa.DataType):
         least = np.minimum.reduceat(number, starts)
         inside = np.ones(len(starts), bool)
         inside[[0, -1]] = False
-        of = np.repeat(np.arange(len(starts)), sizes)
-        sure, open_ = np.flatnonzero((inside & (sizes > 1))[of]), np.flatnonzero(~inside[of])
-        ends = np.unique([0, len(starts) - 1])
+        sure = np.flatnonzero(np.repeat(inside & (sizes > 1), sizes))
         first = lambda k: names.take(pa.array(k, mask=k == len(names)))
-        nulls = lambda n, t: pa.nulls(n, t)
-        for columns in (
-            (pa.array(row[sure]), pa.array(place[sure]), nulls(len(sure), pa.int64()), first(least[of[sure]]), 0),
-            (pa.array(row[open_]), pa.array(place[open_]), pa.array(key[open_]), nulls(len(open_), kind), 1),
-            (pa.array(sizes[ends]), nulls(len(ends), pa.int32()), pa.array(key[starts[ends]]), first(least[ends]), 2),
-        ):
-            n = len(columns[0])
-            arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, columns[-1], np.int8))], schema=out)
+
+        def group(rows: np.ndarray, firsts: np.ndarray, end: int | None) -> pa.RecordBatch:
+            x = first(firsts)
+            values = (row[rows], place[rows].astype(np.int32), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
+            cut = pa.array([0, len(rows)], pa.int32())
+            known = [pa.array([None if end is None else int(v)], pa.int64()) for v in ((0, 0) if end is None else (key[starts[end]], len(rows)))]
+            held_by = first(least[[end]]) if end is not None else pa.nulls(1, kind)
+            return pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(cut, v if isinstance(v, pa.Array) else pa.array(v)) for v in values), *known, held_by.combine_chunks() if isinstance(held_by, pa.ChunkedArray) else held_by], schema=out)
+
+        of = np.repeat(least, sizes)
+        for at in range(0, len(sure), GROUP_ROWS):
+            part = sure[at : at + GROUP_ROWS]
+            yield group(part, of[part], None)
+        for end in np.unique([0, len(starts) - 1]):
+            for at in range(starts[end], starts[end] + sizes[end], GROUP_ROWS):
+                rows = np.arange(at, min(at + GROUP_ROWS, starts[end] + sizes[end]))
+                yield group(rows, of[rows], end)
 
     return run
 
@@ -154,21 +163,18 @@ def neighbours(df: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """Rows (row, place, first) of df (key, row, place, holder) whose key another row has; first is the least holder of the key.
 
     Rows are sorted over all ranges by key, then place in the corpus, so a key that very many rows have goes over many ranges, and each row is
-    compared with its neighbours. What lies at the ends of ranges is settled from two runs of each range, no more.
+    compared with its neighbours. Only the runs at the ends of ranges, two of each, are joined with what other ranges hold of their keys.
     """
     spark, kind = df.sparkSession, df.schema["holder"].dataType
     ranges = max(n_partitions(spark), -(-df.count() // rows_per_range))
     dealt = df.repartitionByRange(ranges, "key", "row", "place").sortWithinPartitions("key")
-    marked = materialise(dealt.mapInArrow(_runs(to_arrow_type(kind)), f"row long, place int, key long, first {kind.simpleString()}, state byte"), "marked")
-    # Two rows of each range at most reach the driver.
-    ends = marked.where("state = 2").groupBy("key").agg(F.sum("row").alias("n"), F.min("first").alias("least")).where("n > 1")
-    found = [F.lit(x) for r in ends.collect() for x in (r.key, r.least)]
-    sure = F.col("state") == 0
-    if not found:
-        return marked.where(sure).select("row", "place", "first")
-    least = F.create_map(*found)
-    kept = marked.where(sure | ((F.col("state") == 1) & F.map_contains_key(least, F.coalesce("key", F.lit(0).cast("long")))))
-    return kept.select("row", "place", F.when(sure, F.col("first")).otherwise(F.try_element_at(least, F.col("key"))).cast(kind).alias("first"))
+    name = kind.simpleString()
+    marked = materialise(dealt.mapInArrow(_runs(to_arrow_type(kind)), f"rows array<long>, places array<int>, firsts array<{name}>, key long, n long, least {name}"), "marked")
+    pending = marked.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("all_least"), F.lit(True).alias("again"))
+    ends = materialise(pending.where("n > 1").drop("n"), "ends")
+    settled = marked.join(ends, "key", "left").where("key IS NULL OR again")
+    each = settled.select(F.inline(F.arrays_zip("rows", "places", "firsts")), "key", "all_least")
+    return each.select(F.col("rows").alias("row"), F.col("places").alias("place"), F.when(F.col("key").isNull(), F.col("firsts")).otherwise(F.col("all_least")).alias("first"))
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, first: int = FIRST) -> tuple[DataFrame, DataFrame]:

@@ -16,28 +16,30 @@ SHARDS = 16
 STEPS, ROUNDS = 2048, 3
 #: About how many rows of a shard one task numbers.
 ROWS_PER_SLOT_GROUP = 200_000
-#: Coordinates are whole numbers below this, so that steps divide them exactly.
+#: Coordinates are whole numbers from -1 to below this, so that no difference of two overflows.
 SPAN = 1 << 62
 
 
 def coordinates(docs: DataFrame, dimensions: list[str]) -> list[Column]:
     """One whole number per dimension, null the lowest; whole numbers keep their order, all else its order as text.
 
+    Whole numbers count from the least one on; if they span more than SPAN, four neighbours have one coordinate.
+
     A text counts by the seven bytes after what all texts of the dimension begin with, so a shared prefix
     (``https://www.``) takes no room. Texts that agree in those too have one coordinate.
     """
     whole = {d for d in dimensions if isinstance(docs.schema[d].dataType, (ByteType, ShortType, IntegerType, LongType))}
     texts = [d for d in dimensions if d not in whole]
-    shared: dict[str, int] = {}
-    if texts:
-        ends = [f(F.col(d).cast("string").cast("binary")).alias(f"{n}_{d}") for d in texts for n, f in (("lo", F.min), ("hi", F.max))]
-        r = docs.agg(*ends).first()
-        # What the least and the greatest text begin with, all between them do.
-        shared = {d: len(os.path.commonprefix([bytes(r[f"lo_{d}"] or b""), bytes(r[f"hi_{d}"] or b"")])) for d in texts}
+    value = {d: F.col(d).cast("long") if d in whole else F.col(d).cast("string").cast("binary") for d in dimensions}
+    r = docs.agg(*[f(value[d]).alias(f"{n}_{d}") for d in dimensions for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    # What the least and the greatest text begin with, all between them do.
+    shared = {d: len(os.path.commonprefix([bytes(r[f"lo_{d}"] or b""), bytes(r[f"hi_{d}"] or b"")])) for d in texts}
 
     def place(d: str) -> Column:
         if d in whole:
-            return F.coalesce(F.col(d).cast("long"), F.lit(-1).cast("long"))
+            low, high = r[f"lo_{d}"] or 0, r[f"hi_{d}"] or 0
+            near = F.col(d).cast("long") - F.lit(low) if high - low < SPAN else F.shiftright(F.col(d).cast("long"), 2) + F.lit(SPAN // 2)
+            return F.coalesce(near, F.lit(-1).cast("long"))
         head = F.rpad(F.hex(F.substring(F.col(d).cast("string").cast("binary"), shared[d] + 1, 7)), 14, "0")
         return F.coalesce(F.conv(head, 16, 10).cast("long") + 1, F.lit(0).cast("long"))
 
