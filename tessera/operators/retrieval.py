@@ -220,3 +220,9 @@ def evaluate(hits: DataFrame, cases: DataFrame) -> DataFrame:
         F.coalesce(F.round(1 / F.col("first"), 4), F.lit(0.0)).alias("reciprocal_rank"),
         F.when(some, F.round(F.col("dcg") / ideal, 4)).otherwise(0.0).alias("ndcg"),
     )
+
+
+def averages(per_case: DataFrame) -> DataFrame:
+    """One row over all cases of ``evaluate``: their number and the mean of each measure to 4 places; means of no cases are 0."""
+    mean = lambda c: F.coalesce(F.round(F.round(F.avg(c), 9), 4), F.lit(0.0)).alias(f"avg_{c}")
+    return per_case.agg(F.count("*").alias("n_cases"), mean("recall"), mean("reciprocal_rank"), mean("ndcg"))

@@ -120,6 +120,13 @@ def eval_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.evaluate(judged.withColumn("relevant", (F.col("hit_label") == F.col("label")) & (F.col("id") != F.col("query_id"))), cases)
 
 
+@query(
+    f"SELECT count(*) AS n_cases, {', '.join(f'coalesce(round(round(avg({c}), 9), 4), 0) AS avg_{c}' for c in ('recall', 'reciprocal_rank', 'ndcg'))} FROM ({ORACLES['eval_per_case']})"
+)
+def eval_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.averages(eval_per_case(spark, sf_dir))
+
+
 # --- search by keyword ------------------------------------------------------
 
 
