@@ -14,20 +14,21 @@ def window_chunks(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size")
-    full = docs.where(F.regexp_like("text", F.lit(r"\S"))).select("doc_id", "text", F.length("text").alias("len"))
-    at = full.select("doc_id", "text", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1, F.lit(size))).alias("from"))
-    tail = F.substring("text", F.greatest(F.col("from") - overlap, F.lit(0)) + 1, F.least("from", F.lit(overlap)))
-    cut = F.when(F.instr(tail, " ") > 0, F.substring(tail, F.instr(tail, " ") + 1, F.length(tail))).otherwise(tail) if overlap else F.lit("")
+    length = F.length("text")
+
+    def window(start):
+        """A window and the characters before it. It is cut here, so that the rows of chunks don't carry the whole text."""
+        before = F.substring("text", F.greatest(start - overlap, F.lit(0)) + 1, F.least(start, F.lit(overlap)))
+        return F.struct(start.alias("from"), F.least(start + size, length).cast("long").alias("end"), before.alias("tail"), F.substring("text", start + 1, F.lit(size)).alias("body"))
+
+    full = docs.where(F.regexp_like("text", F.lit(r"\S")))
+    each = full.select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), length - 1, F.lit(size)), window)))
+    cut = F.when(F.instr("tail", " ") > 0, F.substring("tail", F.instr("tail", " ") + 1, F.length("tail"))).otherwise(F.col("tail")) if overlap else F.lit("")
     index = (F.col("from") / size).cast("long")
-    end = F.least(F.col("from") + size, "len").cast("long")
-    return at.select(
-        F.concat_ws("_", "doc_id", index).alias("id"),
-        "doc_id",
-        index.alias("chunk_index"),
-        F.concat(cut, F.substring("text", F.col("from") + 1, F.lit(size))).alias("text"),
-        (F.col("from") - F.length(cut)).cast("long").alias("char_start"),
-        end.alias("char_end"),
-    )
+    return each.select(
+        F.concat_ws("_", "doc_id", index).alias("id"), "doc_id", index.alias("chunk_index"), F.concat(cut, "body").alias("text"),
+        (F.col("from") - F.length(cut)).cast("long").alias("char_start"), F.col("end").alias("char_end"),
+    )
 
 
 def truncated(docs: DataFrame, tokens: int) -> DataFrame:
