@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 FIELD = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
 
-def _number(value: Any) -> Any:
+def number_of(value: Any) -> Any:
+    """The bound of a range; ValueError if it is no number."""
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         raise ValueError(f"a range needs a number, not {value!r}")
     return value
 
 
 def _ranged(compare: Callable[[Column, Any], Column]) -> Callable[[Column, Any], Column]:
-    return lambda col, value: F.coalesce(compare(col.try_cast("double"), _number(value)), F.lit(False))
+    return lambda col, value: F.coalesce(compare(col.try_cast("double"), number_of(value)), F.lit(False))
 
 
 def _one_of(col: Column, values: Any) -> Column:
@@ -44,8 +45,8 @@ OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
 }
 
 
-def compile_filter(filters: Mapping[str, Any] | None, field: Callable[[str], Column] = F.col) -> Column | None:
-    """One boolean column for the filters, None for none; field finds the column of a name.
+def compile_filter(filters: Mapping[str, Any] | None, field: Callable[[str], Column] = F.col, operators: Mapping[str, Callable[[Column, Any], Column]] = OPERATORS) -> Column | None:
+    """One boolean column for the filters, None for none; field finds the column of a name, operators compare it.
 
     Raises ValueError for a bad field name, an unknown operator, a null, a bare
     list or an empty object.
@@ -63,9 +64,9 @@ def compile_filter(filters: Mapping[str, Any] | None, field: Callable[[str], Col
         else:
             conditions = {"$eq": wanted}
         for op, value in conditions.items():
-            if op not in OPERATORS:
+            if op not in operators:
                 raise ValueError(f"unknown operator {op}")
-            parts.append(OPERATORS[op](field(name), value))
+            parts.append(operators[op](field(name), value))
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 

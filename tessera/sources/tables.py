@@ -28,6 +28,18 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
             "CASE doc_id % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'processing' ELSE 'ready' END AS status",
         ),
     ),
+    "document_meta_v": (
+        "documents",
+        (
+            "doc_id",
+            "concat('{\"lang\":\"', coalesce(lang, 'none'), '\",\"n\":', CAST(coalesce(n_chars, 0) AS VARCHAR(20)), "
+            "',\"mark\":', CASE doc_id % 5 WHEN 0 THEN '7' WHEN 1 THEN '\"7\"' WHEN 2 THEN 'true' WHEN 3 THEN 'null' ELSE '[7, {\"tenant\":\"t1\"}]' END, "
+            "CASE WHEN doc_id % 3 = 0 THEN ',\"tenant\":\"t1\"' ELSE '' END, "
+            "',\"place\":{\"page\":', CAST(doc_id % 4 AS VARCHAR(20)), ',\"boxes\":[1,2.5]}', "
+            "CASE WHEN doc_id % 2 = 0 THEN ',\"page_no\":12' ELSE ',\"document_filename\":\"f.txt\"' END, "
+            "',\"multimodal_elements\":[{\"element_index\":', CAST(doc_id % 6 AS VARCHAR(20)), '}]}') AS meta",
+        ),
+    ),
     "query_log_v": (
         "events",
         (
