@@ -16,6 +16,8 @@ Piece = tuple[str, int]
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 #: Characters of context on each side of a block, references of a chunk, characters of a heading.
 CONTEXT, MAX_REFS, MAX_HEADING = 600, 8, 1000
+#: Characters of a bin in which spans meet; a chunk lies in one or two.
+BIN = 4096
 
 
 def pack(pieces: Iterable[Piece], size: int, glue: str, divide: Callable[[str, int], list[Piece]]) -> list[Piece]:
@@ -182,16 +184,31 @@ def block_elements(docs: DataFrame) -> DataFrame:
     )
 
 
+def span_pairs(left: DataFrame, right: DataFrame, on: str = "doc_id", width: int = BIN) -> DataFrame:
+    """All pairs of a span (l0, l1) of ``left`` and a span (r0, r1) of ``right`` of one document that overlap, each once.
+
+    Spans go into bins of ``width`` characters and meet within a bin only, so a long document is spread over many
+    keys, and no chunk meets all the elements of its document. Of several bins that a pair shares, the one with the later begin keeps it.
+    Spans with a null end meet nothing.
+    """
+    bins = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.greatest(F.col(low), F.col(high) - 1) / width)))
+    met = left.withColumn("_bin", bins("l0", "l1")).join(right.withColumn("_bin", bins("r0", "r1")), [on, "_bin"])
+    overlap = (F.col("r0") < F.col("l1")) & (F.col("r1") > F.col("l0"))
+    return met.where(overlap & (F.floor(F.greatest("l0", "r0") / width) == F.col("_bin"))).drop("_bin")
+
+
 def element_refs(elements: DataFrame, chunks: DataFrame, limit: int = MAX_REFS) -> DataFrame:
     """Rows (doc_id, chunk_index, content_kinds, refs) of the chunks that elements other than text touch.
 
     An element without a span belongs to its document's first chunk. A chunk keeps
-    the first ``limit`` elements; content_kinds lists their kinds, sorted. The join is by
-    document, so only spans of one document meet.
+    the first ``limit`` elements; content_kinds lists their kinds, sorted.
     """
-    left = elements.where("kind <> 'text'").select("doc_id", "element_index", "kind", F.col("char_start").alias("e0"), F.col("char_end").alias("e1"))
-    pairs = chunks.select("doc_id", "chunk_index", "char_start", "char_end").join(left, "doc_id")
-    touch = F.when(F.col("e0").isNull() | F.col("e1").isNull(), F.col("chunk_index") == 0).otherwise((F.col("e0") < F.col("char_end")) & (F.col("e1") > F.col("char_start")))
-    first = pairs.where(touch).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "chunk_index").orderBy("element_index"))).where(F.col("n") <= limit)
+    shown = elements.where("kind <> 'text'").select("doc_id", "element_index", "kind", F.col("char_start").alias("r0"), F.col("char_end").alias("r1"))
+    spans = chunks.select("doc_id", "chunk_index", F.col("char_start").alias("l0"), F.col("char_end").alias("l1"))
+    made = ("doc_id", "chunk_index", "element_index", "kind")
+    placed = span_pairs(spans, shown).select(*made)
+    loose = spans.where("chunk_index = 0").join(shown.where("r0 IS NULL OR r1 IS NULL"), "doc_id").select(*made)
+    pairs = placed.unionByName(loose)
+    first = pairs.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "chunk_index").orderBy("element_index"))).where(F.col("n") <= limit)
     kept = first.groupBy("doc_id", "chunk_index").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("content_kinds"), F.array_sort(F.collect_list("element_index")).alias("refs"))
     return kept.select("doc_id", "chunk_index", "content_kinds", F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("refs"))
