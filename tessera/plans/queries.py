@@ -391,4 +391,4 @@ def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other queries register themselves.
-from tessera.plans import archives, chunks, lookups, metadata, pages, service, streams  # noqa: E402, F401
+from tessera.plans import archives, chunks, embedding, lookups, metadata, pages, service, streams  # noqa: E402, F401
