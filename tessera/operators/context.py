@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tessera.functions.metadata import metadata_field
 
 #: Bounds of the budget, characters kept free for each source, and what stands between sources.
 LEAST, MOST, SPARE, BETWEEN = 100, 200_000, 16, "\n\n---\n\n"
 NOTHING = "(no matching chunks were found)"
+#: Characters of a document's metadata, elements of a source, characters of an element.
+METADATA_CHARS, MAX_ELEMENTS, ELEMENT_CHARS = 1600, 5, 600
 
 
 def label(document: Column, filename: Column, chunk: Column, page: Column) -> Column:
@@ -16,6 +24,35 @@ def label(document: Column, filename: Column, chunk: Column, page: Column) -> Co
     return F.when(F.size(parts) > 0, F.concat(F.lit(" ("), F.array_join(parts, ", "), F.lit(")"))).otherwise("")
 
 
+@F.pandas_udf(StringType())
+def _plain_json(values: pd.Series) -> pd.Series:
+    """JSON with sorted keys, spaces after commas and colons, and nothing but ASCII."""
+    return values.map(lambda v: None if v is None else json.dumps(json.loads(v), ensure_ascii=True, sort_keys=True))
+
+
+def metadata_extra(metadata: Column, chunk_index: Column) -> Column:
+    """What a source shows of its document's metadata (VARIANT): its field ``document_metadata``, or all of it if the source is no chunk.
+
+    Empty unless that is an object with fields. A null field counts as missing.
+    """
+    own = metadata_field(metadata, "document_metadata")
+    shown = F.when(own.isNotNull() & ~F.is_variant_null(own), own).when(chunk_index.isNull(), metadata)
+    fields = F.try_variant_get(shown, "$", "map<string, variant>")
+    text = _plain_json(F.when(F.startswith(F.schema_of_variant(shown), F.lit("OBJECT")) & (F.size(fields) > 0), F.to_json(shown)))
+    return F.coalesce(F.concat(F.lit("\nDocument metadata: "), F.substring(text, 1, METADATA_CHARS)), F.lit(""))
+
+
+def elements_extra(elements: Column) -> Column:
+    """What a source shows of its first elements (structs with kind, summary, caption, text): the first of the three that isn't empty. Empty without elements."""
+
+    def line(e: Column) -> Column:
+        detail = F.coalesce(*(F.nullif(e[c], F.lit("")) for c in ("summary", "caption", "text")))
+        return F.concat(F.lit("- "), e["kind"], F.coalesce(F.concat(F.lit(": "), F.substring(detail, 1, ELEMENT_CHARS)), F.lit("")))
+
+    lines = F.array_join(F.transform(F.slice(elements, 1, MAX_ELEMENTS), line), "\n")
+    return F.when(F.size(elements) > 0, F.concat(F.lit("\n\nRetrieved elements:\n"), lines)).otherwise("")
+
+
 def context_block(sources: Column, max_chars: int) -> Column:
     """One text of numbered sources (label, text, extra), in order, until the budget is used up; texts are cut, labels and extras never.
 

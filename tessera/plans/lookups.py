@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import lookups
+from tessera.operators import context, lookups
 from tessera.plans.registry import query
 from tessera.sources.tables import AS_OF, read_table, read_view, view_sql
 
@@ -117,3 +117,20 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     runs = docs.where("doc_id % 3 <> 1").selectExpr(*_RUNS)
     return lookups.job_outcomes(docs.select("doc_id", "status", "chunk_count", "token_count"), runs)
+
+
+_DOCUMENT_META = "CASE doc_id % 4 WHEN 0 THEN concat('{\"document_metadata\":{\"n\":', CAST(doc_id AS VARCHAR(20)), ',\"lang\":\"é\"}}') WHEN 3 THEN '{\"document_metadata\":{}}' ELSE '{\"b\":[1,2.5,null],\"a\":true}' END AS meta"
+_SHOWN = "chr(10), chr(10), 'Retrieved elements:', chr(10), '- table', CASE WHEN coalesce(text, '') = '' THEN '' ELSE concat(': ', substr(text, 1, 600)) END, chr(10), '- image: c', doc_id, chr(10), '- image: short', chr(10), '- equation', chr(10), '- table: last'"
+
+
+@query(
+    "SELECT doc_id, sha256(concat(CASE doc_id % 4 WHEN 0 THEN concat(chr(10), 'Document metadata: {\"lang\": \"', chr(92), 'u00e9\", \"n\": ', doc_id, '}') WHEN 1 THEN concat(chr(10), 'Document metadata: {\"a\": true, \"b\": [1, 2.5, null]}') ELSE '' END, "
+    f"CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat({_SHOWN}) END)) AS extra_hash FROM documents"
+)
+def source_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sources show beside their text: metadata and the first five of six elements."""
+    element = lambda kind, summary=None, caption=None, text=None: F.struct(F.lit(kind).alias("kind"), *(c.cast("string").alias(n) for n, c in (("summary", F.lit(summary)), ("caption", caption if caption is not None else F.lit(None)), ("text", text if text is not None else F.lit(None)))))
+    six = F.array(element("table", "", F.lit(""), F.col("text")), element("image", None, F.concat(F.lit("c"), F.col("doc_id")), F.col("text")), element("image", "short", F.lit("c")), element("equation"), element("table", None, None, F.lit("last")), element("table", "too many"))
+    rows = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "text", _DOCUMENT_META).withColumn("elements", F.when(F.col("doc_id") % 3 == 0, F.slice(six, 1, 0)).otherwise(six))
+    chunk = F.when(F.col("doc_id") % 4 != 1, F.lit(3))
+    return rows.select("doc_id", F.sha2(F.concat(context.metadata_extra(F.parse_json("meta"), chunk), context.elements_extra(F.col("elements"))), 256).alias("extra_hash"))

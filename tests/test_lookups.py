@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import lookups
+from tessera.operators import context, lookups
 
 
 def test_requests_outside_the_pin_find_nothing(spark):
@@ -58,3 +58,12 @@ def test_outcomes_leave_documents_that_others_took(spark):
         0: ("ready", 3, 10, None, True), 1: ("ready", 2, 10, "Partial: 2/3 chunks embedded", True), 2: ("failed", 1, 1, "All 3 chunk batches failed embedding/insert", True),
         3: ("processing", 1, 1, None, False), 4: ("ready", 1, 1, None, False), 5: ("processing", 1, 1, None, False),
     }
+
+
+def test_what_sources_show_of_odd_metadata_and_elements(spark):
+    rows = spark.createDataFrame([(1, '{"document_metadata":null,"z":1}', None), (2, '{"document_metadata":[1]}', None), (3, "[1]", None), (4, None, None), (5, '{"a":"' + "x" * 3000 + '"}', None), (6, '{"a":1}', 0)], "k long, meta string, chunk_index long")
+    shown = {r.k: r.e for r in rows.select("k", context.metadata_extra(F.parse_json("meta"), F.col("chunk_index")).alias("e")).collect()}
+    assert shown[1] == '\nDocument metadata: {"document_metadata": null, "z": 1}' and shown[2] == shown[3] == shown[4] == shown[6] == ""
+    assert len(shown[5]) == len("\nDocument metadata: ") + 1600
+    elements = spark.createDataFrame([(1, [("image", None, "", None)]), (2, []), (3, None)], "k long, elements array<struct<kind string, summary string, caption string, text string>>")
+    assert {r.k: r.e for r in elements.select("k", context.elements_extra(F.col("elements")).alias("e")).collect()} == {1: "\n\nRetrieved elements:\n- image", 2: "", 3: ""}
