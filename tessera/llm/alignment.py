@@ -25,8 +25,8 @@ from tessera.llm.tokens import by_words
 MERGED, HELD, RANGE_ROWS = 4_000_000, 8_000_000, 2_000_000
 #: Characters that are tokenized together, distinct stretches that a Python worker remembers at most, and characters of one that is worth it.
 GROUP_CHARS, KNOWN, WORTH = 1_000_000, 150_000, 64
-#: Where no token of either tokenizer goes on: before a space after what isn't white space.
-_BREAK, _LOOSE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s |\0")
+#: Where no token of either tokenizer goes on: before a space after what isn't white space. A text's last space stays where it is, for B has no token for it alone.
+_BREAK, _LOOSE = re.compile(r"(?s)(?<=\S)(?= .)"), re.compile(r"\s |\0| \Z")
 #: Stretches that may be tokenized in one go with a line end between them, which then is a token of its own.
 _PLAIN = re.compile(r" \S+")
 

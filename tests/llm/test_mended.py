@@ -51,3 +51,17 @@ def test_runs_over_many_ranges_and_groups(spark, monkeypatch):
             held.setdefault(k, []).append(h)
         wanted = {(n, p): min((h for h in held[k] if h is not None), default=None) for k, n, p, _ in rows if len(held[k]) > 1}
         assert found == wanted
+
+
+def test_a_text_may_end_with_one_space():
+    import public_tokenizers
+
+    from tessera.llm import alignment
+
+    pair = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    whole = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    whole.cut = False
+    texts = ["word ", "two words ", "line\n ", "a\0 ", " ", "  ", "é  ", "x \t "]
+    got, want = ([(*r[:5], r[5].tolist(), r[6].tolist()) for r in p.documents(texts)] for p in (pair, whole))
+    assert got == want
+    assert all(r[0] > 0 for r in got[:3])
