@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import index_tokens, keyword_fraction, query_terms
 
-#: Rows of a block of vectors.
-QUERY_BLOCK, ROW_BLOCK = 512, 4096
+#: Rows of a block of vectors, and scores of a block that are held at a time.
+QUERY_BLOCK, ROW_BLOCK, SCORES = 512, 4096, 262_144
 K1, B = 1.2, 0.75
 RRF_K = 60
 MAX_TOP_K = 200
@@ -47,6 +48,21 @@ def _blocks(df: DataFrame, id_col: str, vector: str, side: str, rows: int, group
     return kept.mapInPandas(pack, f"{side}_ids binary, {side}_m binary, {side}_groups binary")
 
 
+def k_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (row, column) and scores of each row's k highest, ties to the smaller id."""
+    low = -score
+    # What isn't a number comes last.
+    row, column = np.nonzero(~(low > np.partition(low, k - 1, axis=1)[:, k - 1, None])) if k < score.shape[1] else (x.ravel() for x in np.indices(score.shape))
+    held = score[row, column]
+    order = np.lexsort((ids[column], -held, row))
+    # Rows keep their order, so an entry's rank is its distance from its row's first.
+    kept = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    return row[kept], column[kept], held[kept]
+
+
+_BYTES = (("q_ids", np.int64), ("q_m", np.float64), ("d_ids", np.int64), ("d_m", np.float64), ("d_groups", np.int64))
+
+
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector: str = "vector", group: str | None = None) -> DataFrame:
     """Exact top k by cosine: query_id, id, rank, score = max(0, cosine); with a group column, the k best of each group.
 
@@ -56,24 +72,23 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id",
     vectors have one length. Ties go to the smaller id.
     """
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                q_ids, every = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.d_ids, np.int64)
-                q = np.frombuffer(r.q_m, np.float64).reshape(len(q_ids), -1)
-                d = np.frombuffer(r.d_m, np.float64).reshape(len(every), -1)
-                scores = np.round(np.maximum(q @ d.T, 0), 9)
-                groups = np.frombuffer(r.d_groups, np.int64)
-                for g in np.unique(groups):
-                    at = np.flatnonzero(groups == g)
-                    d_ids, score = every[at], scores[:, at]
-                    order = np.lexsort((np.broadcast_to(d_ids, score.shape), -score), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "id": d_ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel(), "_group": g})
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The blocks are read where they lie in the batch; of their scores, few are held at a time.
+            for q_ids, q_m, every, d_m, groups in zip(*([np.frombuffer(x.as_buffer(), t) for x in batch.column(c)] for c, t in _BYTES), strict=True):
+                d = d_m.reshape(len(every), -1)
+                parts = [(g, np.flatnonzero(groups == g)) for g in np.unique(groups)]
+                step = max(1, SCORES // len(every))
+                for lo in range(0, len(q_ids), step):
+                    scores = np.round(np.maximum(q_m.reshape(len(q_ids), -1)[lo : lo + step] @ d.T, 0), 9)
+                    for g, at in parts:
+                        query, row, score = k_best(scores if len(parts) == 1 else scores[:, at], every[at], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo + query]), pa.array(every[at[row]]), pa.array(score), pa.array(np.full(len(row), g))], names=["query_id", "id", "score", "_group"])
 
     q = _blocks(queries, "query_id", vector, "q", QUERY_BLOCK)
     d = _blocks(rows, id_col, vector, "d", ROW_BLOCK, group)
     # Blocks against blocks: the stated queries against all rows.
-    found = d.crossJoin(q.drop("q_groups")).mapInPandas(best, "query_id long, id long, score double, _group long")
+    found = d.crossJoin(q.drop("q_groups")).mapInArrow(best, "query_id long, id long, score double, _group long")
     if group is None:
         return ranked(found.drop("_group"), k, F.desc("score"), "id")
     rank = F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(F.desc("score"), "id"))
