@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.operators.retrieval import ranked
+from tessera.operators.retrieval import k_best, ranked
 
 #: Cells at most, rows of the sample that centroids are fitted on for each cell, and rounds of fitting.
 MAX_CELLS, SAMPLE, ROUNDS = 16_384, 256, 8
 #: Rows and queries of a block.
 ROW_BLOCK, QUERY_BLOCK = 1024, 256
+#: Rows times cells that are held at a time, and rows of a batch that searches are sent on in.
+HELD, SENT = 1 << 19, 8192
 #: Cells that an exact search probes before it knows how far it must go.
 FIRST = 4
 
@@ -35,17 +37,23 @@ def _lists(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """The rows, as many at a time as meet all cells within the bound."""
+    step = max(1, HELD // max(1, cells))
+    for batch in batches:
+        yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
 def _partial_sums(centroids: np.ndarray):
     """Sums of the unit vectors nearest to each centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                u = unit(_matrix(batch.column(0)))
-                cell = (u @ centroids.T).argmax(axis=1)
-                np.add.at(sums, cell, u)
-                counts += np.bincount(cell, minlength=len(centroids))
+        for batch in _slices(batches, len(centroids)):
+            u = unit(_matrix(batch.column(0)))
+            cell = (u @ centroids.T).argmax(axis=1)
+            np.add.at(sums, cell, u)
+            counts += np.bincount(cell, minlength=len(centroids))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _lists(sums[some])], names=["cell", "sums"])
 
@@ -79,10 +87,9 @@ def _cells(centroids: np.ndarray):
     """Each row's nearest cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cell = (unit(_matrix(batch.column("vector"))) @ centroids.T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("id"), batch.column("vector")], names=["cell", "id", "vector"])
+        for batch in _slices(batches, len(centroids)):
+            cell = (unit(_matrix(batch.column("vector"))) @ centroids.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("id"), batch.column("vector")], names=["cell", "id", "vector"])
 
     return run
 
@@ -151,9 +158,7 @@ def _probes(centroids: np.ndarray, radius: np.ndarray, filled: np.ndarray, most:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, len(centroids)):
             u = unit(_matrix(batch.column("vector")))
             near = u @ centroids.T
             if most is not None:
@@ -166,8 +171,9 @@ def _probes(centroids: np.ndarray, radius: np.ndarray, filled: np.ndarray, most:
                 apart = np.sqrt(np.maximum((u * u).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1) - 2 * near, 0))
                 best = 1 - np.maximum(apart - radius - 1e-7, 0) ** 2 / 2
                 row, cell = np.nonzero((np.maximum(best, 0) + 1e-6 >= least[:, None]) & filled)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("query_id").take(take), batch.column("vector").take(take)], names=["cell", "id", "vector"])
+            for at in range(0, len(row), SENT):
+                take = pa.array(row[at : at + SENT])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + SENT].astype(np.int32)), batch.column("query_id").take(take), batch.column("vector").take(take)], names=["cell", "id", "vector"])
 
     return run
 
@@ -177,11 +183,11 @@ def _best(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                (q, d), (q_ids, ids) = ((unit(np.frombuffer(r[m], np.float32 if r[s] else np.float64).reshape(len(r[i]), -1)) for m, s, i in (("q_m", "q_short", "q_ids"), ("m", "short", "ids"))), (np.array(r[i], np.int64) for i in ("q_ids", "ids")))
-                score = np.round(np.maximum(q @ d.T, 0), 9)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "id", "score"])
+            for at in range(batch.num_rows):
+                ids, q_ids = (batch.column(c)[at].values.to_numpy() for c in ("ids", "q_ids"))
+                q, d = (unit(np.frombuffer(batch.column(m)[at].as_buffer(), np.float32 if batch.column(s)[at].as_py() else np.float64).reshape(n, -1)) for m, s, n in (("q_m", "q_short", len(q_ids)), ("m", "short", len(ids))))
+                query, row, score = k_best(np.round(np.maximum(q @ d.T, 0), 9), ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(ids[row]), pa.array(score)], names=["query_id", "id", "score"])
 
     return run
 
@@ -222,12 +228,11 @@ def _places(centroids: np.ndarray, filled: np.ndarray):
     """The place of a cell among a query's cells, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = unit(_matrix(batch.column("vector"))) @ centroids.T
-                near[:, ~filled] = -np.inf
-                own = near[np.arange(len(near)), batch.column("cell").to_numpy()]
-                yield pa.RecordBatch.from_arrays([pa.array((near > own[:, None]).sum(axis=1) + 1)], names=["place"])
+        for batch in _slices(batches, len(centroids)):
+            near = unit(_matrix(batch.column("vector"))) @ centroids.T
+            near[:, ~filled] = -np.inf
+            own = near[np.arange(len(near)), batch.column("cell").to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array((near > own[:, None]).sum(axis=1) + 1)], names=["place"])
 
     return run
 
