@@ -6,7 +6,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ SEPARATORS = ("\n\n", "\n", ". ", " ")
 CONTEXT, MAX_REFS, MAX_HEADING = 600, 8, 1000
 #: Characters of a bin in which spans meet; a chunk lies in one or two.
 BIN = 4096
+#: Bytes of texts whose pieces are held at a time; a text is held whole.
+GROUP_BYTES = 1_000_000
 
 
 def pack(pieces: Iterable[Piece], size: int, glue: str, divide: Callable[[str, int], list[Piece]]) -> list[Piece]:
@@ -97,14 +101,27 @@ _CHUNKS = "array<struct<text:string,char_start:long,char_end:long>>"
 _ARROW = pa.list_(pa.struct([("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]))
 
 
+def in_groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[pa.Array]:
+    """Neighbouring texts of about so many bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def chunk_arrays(docs: DataFrame, size: int, strategy: str = "paragraph") -> DataFrame:
-    """docs (doc_id, text) with ``chunks`` for the text, Arrow batch by Arrow batch; null and blank texts have none."""
+    """docs (doc_id, text) with ``chunks`` for the text, a bounded group of texts at a time; null and blank texts have none."""
     pieces = recursive_pieces if strategy == "recursive" else paragraph_pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"text": t, "char_start": at, "char_end": at + len(t)} for t, at in (pieces(text, size) if text and text.strip() else [])] for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _ARROW)], names=["doc_id", "chunks"])
+            at = 0
+            for part in in_groups(batch.column(1)):
+                found = [[{"text": t, "char_start": start, "char_end": start + len(t)} for t, start in (pieces(text, size) if text and text.strip() else [])] for text in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(found, _ARROW)], names=["doc_id", "chunks"])
+                at += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunks {_CHUNKS}")
