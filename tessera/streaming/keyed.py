@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,9 +22,9 @@ def _timed(events: DataFrame, key: str, late: str, *columns: str) -> DataFrame:
     return kept.select("event_id", "ts", F.unix_micros("ts").alias("at"), key, *columns).withWatermark("ts", late)
 
 
-def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+def _in_order(rows: Iterator[Row]) -> list[Row]:
     """A key's rows of one micro-batch by time, then id."""
-    return pd.concat(list(parts), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
+    return sorted(rows, key=lambda r: (r["at"], r["event_id"] is None, r["event_id"] or 0))
 
 
 class _Leases(StatefulProcessor):
@@ -38,14 +37,15 @@ class _Leases(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("lease", "beat long, returned int")
 
-    def _given_back(self, key: tuple, beat: int, returned: int) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [key[0]], "last_beat": [beat], "given_back_at": [beat + self.lease], "times": [returned]})
+    def _given_back(self, key: tuple, beat: int, returned: int) -> Row:
+        return Row(job_id=key[0], last_beat=beat, given_back_at=beat + self.lease, times=returned)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         beat, returned = self.state.get() if self.state.exists() else (None, 0)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        for at, ends in _in_order(rows)[["at", "ends"]].itertuples(index=False):
+        for r in _in_order(rows):
+            at, ends = r["at"], r["ends"]
             if beat is not None and at > beat + self.lease:
                 returned += 1
                 yield self._given_back(key, beat, returned)
@@ -55,7 +55,7 @@ class _Leases(StatefulProcessor):
             self.handle.registerTimer(-(-(beat + self.lease) // 1000))
         self.state.update((beat, returned))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         beat, returned = self.state.get()
         if beat is not None:
             self.state.update((None, returned + 1))
@@ -70,7 +70,7 @@ def returned_leases(events: DataFrame, lease: int = LEASE, late: str = "1 hour")
     fall into micro-batches changes nothing, as long as none is later than that. times counts a job's returns.
     """
     kind = events.schema["job_id"].dataType.simpleString()
-    back = _timed(events, "job_id", late, "ends").groupBy("job_id").transformWithStateInPandas(_Leases(lease), f"job_id {kind}, last_beat long, given_back_at long, times int", "Append", "EventTime")
+    back = _timed(events, "job_id", late, "ends").groupBy("job_id").transformWithState(_Leases(lease), f"job_id {kind}, last_beat long, given_back_at long, times int", "Append", "EventTime")
     return back.select("job_id", F.timestamp_micros("last_beat").alias("last_beat"), F.timestamp_micros("given_back_at").alias("given_back_at"), "times")
 
 
@@ -83,19 +83,16 @@ class _Admission(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("depth", "n int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         n = self.state.get()[0] if self.state.exists() else 0
-        ids, admitted, depth = [], [], []
-        for event_id, ends in _in_order(rows)[["event_id", "ends"]].itertuples(index=False):
-            if ends:
+        for r in _in_order(rows):
+            if r["ends"]:
                 n = max(n - 1, 0)
                 continue
-            ids.append(event_id)
-            admitted.append(n < self.most)
+            admitted = n < self.most
             n = min(n + 1, self.most)
-            depth.append(n)
+            yield Row(event_id=r["event_id"], queue=key[0], admitted=admitted, depth=n)
         self.state.update((n,))
-        yield pd.DataFrame({"event_id": ids, "queue": key[0], "admitted": admitted, "depth": depth})
 
 
 def admissions(events: DataFrame, most: int = MAX_IN_FLIGHT, late: str = "1 hour") -> DataFrame:
@@ -104,7 +101,7 @@ def admissions(events: DataFrame, most: int = MAX_IN_FLIGHT, late: str = "1 hour
     events: a stream of event_id, ts, queue, ends (boolean); a row with ``ends`` frees a place. Micro-batches must come in order of time; rows within one are ordered here.
     """
     kind = events.schema["queue"].dataType.simpleString()
-    return _timed(events, "queue", late, "ends").groupBy("queue").transformWithStateInPandas(_Admission(most), f"event_id long, queue {kind}, admitted boolean, depth int", "Append", "None")
+    return _timed(events, "queue", late, "ends").groupBy("queue").transformWithState(_Admission(most), f"event_id long, queue {kind}, admitted boolean, depth int", "Append", "None")
 
 
 class _Requests(StatefulProcessor):
@@ -118,10 +115,11 @@ class _Requests(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("request", "done boolean, fingerprint string, request long, at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.state.get() if self.state.exists() else None
         out = []
-        for at, event_id, outcome, fingerprint in _in_order(rows)[["at", "event_id", "outcome", "fingerprint"]].itertuples(index=False):
+        for r in _in_order(rows):
+            at, event_id, outcome, fingerprint = r["at"], r["event_id"], r["outcome"], r["fingerprint"]
             if isinstance(outcome, str):
                 if held is not None and not held[0]:
                     held = (True, held[1], held[2], at) if outcome == "ok" and at < held[3] + self.longest else None
@@ -145,10 +143,9 @@ class _Requests(StatefulProcessor):
             self.state.update(held)
             # A request in flight may still be answered, so it is forgotten no sooner than an answer.
             self.handle.registerTimer((held[3] + self.longest) // 1000 + 1)
-        if out:
-            yield pd.DataFrame({"event_id": [x[0] for x in out], "key": key[0], "answer": [x[1] for x in out], "of": pd.array([x[2] for x in out], "Int64")})
+        yield from (Row(event_id=event_id, key=key[0], answer=answer, of=of) for event_id, answer, of in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter(())
 
@@ -162,4 +159,4 @@ def answered_requests(events: DataFrame, in_flight: int = IN_FLIGHT, known: int
     come in order of time; rows within one are ordered here. State goes when its time is over by the watermark.
     """
     kind = events.schema["key"].dataType.simpleString()
-    return _timed(events, "key", late, "fingerprint", "outcome").groupBy("key").transformWithStateInPandas(_Requests(in_flight, known), f"event_id long, key {kind}, answer string, of long", "Append", "EventTime")
+    return _timed(events, "key", late, "fingerprint", "outcome").groupBy("key").transformWithState(_Requests(in_flight, known), f"event_id long, key {kind}, answer string, of long", "Append", "EventTime")
