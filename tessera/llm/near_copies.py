@@ -23,8 +23,10 @@ DISTANCE = 3
 BANDS, ROWS = 24, 4
 #: Bins of a sketch, a byte each, and by how many standard errors a pair's sketches may fall short of the similarity.
 BINS, ERRORS = 512, 4.5
-#: How many of its likeliest partners a member is compared with in each further round; the last round takes all.
-PARTNERS = (1, 16, None)
+#: Members of a bucket, and shingles of theirs, that lie in one block about; a task holds two blocks at most.
+BLOCK, BLOCK_SHINGLES = 4096, 4 << 20
+#: Likely partners of a member that are verified at a time.
+PARTNERS = 16
 #: Shingles hashed at a time.
 SLICE = 1 << 12
 
@@ -112,37 +114,117 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return found
 
 
-def _cross_pairs(similarity: float, partners: int | None):
-    """Pairs of different components within buckets, which lie together: each member outside the largest component with its likeliest partners."""
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each pair of blocks (key, i, j), which lie together, members by block, those outside the largest component first."""
+    held = None
+    for pdf in itertools.chain(batches, [None]):
+        held = pdf if held is None else held if pdf is None else pd.concat([held, pdf], ignore_index=True)
+        if held is None or not len(held):
+            continue
+        at = held[["key", "i", "j"]].to_numpy()
+        new = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+        # The last group may go on in the next batch.
+        cuts = np.r_[0, new, len(held)] if pdf is None else np.r_[0, new]
+        for start, stop in itertools.pairwise(cuts):
+            part = held.iloc[start:stop]
+            _, back, count = np.unique(part["component"].to_numpy(), return_inverse=True, return_counts=True)
+            yield part.assign(inner=back == count.argmax()).sort_values(["block", "inner"], kind="stable", ignore_index=True)
+        held = held.iloc[cuts[-1] :].reset_index(drop=True)
+
+
+def _meetings(part: pd.DataFrame) -> Iterator[tuple[int, slice]]:
+    """Members with ranges of others: each pair of the two blocks, or of the only one, that has a member outside the largest component."""
+    outer, n = ~part["inner"].to_numpy(), len(part)
+    if part["i"][0] == part["j"][0]:
+        yield from ((k, slice(k + 1, n)) for k in range(int(outer.sum())))
+        return
+    cut = int(np.searchsorted(part["block"].to_numpy(), part["j"][0]))
+    first = int(outer[:cut].sum())
+    yield from ((k, slice(cut, n)) for k in range(first))
+    yield from ((k, slice(first, cut)) for k in range(cut, cut + int(outer[cut:].sum())))
+
+
+def _flagged(similarity: float):
+    """Members that have a likely partner in another component, each once for a pair of blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in itertools.chain(batches, [None]):
-            held = pdf if held is None else held if pdf is None else pd.concat([held, pdf], ignore_index=True)
-            if held is None or not len(held):
-                continue
-            key = held["key"].to_numpy()
-            # The last bucket may go on in the next batch.
-            end = len(held) if pdf is None else int(np.argmax(key == key[-1]))
-            cuts = np.r_[0, np.flatnonzero(key[1:end] != key[: max(0, end - 1)]) + 1, end] if end else np.zeros(1, int)
-            for start, stop in itertools.pairwise(cuts):
-                part = held.iloc[start:stop]
-                node, comp, size = part["node"].to_numpy(), part["component"].to_numpy(), part["size"].to_numpy()
-                low = np.frombuffer(b"".join(part["low"]), np.uint8).reshape(len(part), -1)
-                _, back, count = np.unique(comp, return_inverse=True, return_counts=True)
-                # A pair of different components has a member outside the largest one.
-                for k in np.flatnonzero(back != count.argmax()):
-                    share = np.where(comp != comp[k], likely(low[k], size[k], low, size, similarity), 0)
-                    near = np.flatnonzero(share)
-                    if partners is not None and len(near) > partners:
-                        near = near[np.argsort(-share[near], kind="stable")[:partners]]
-                    if len(near):
-                        yield pd.DataFrame({"a": np.minimum(node[near], node[k]), "b": np.maximum(node[near], node[k])})
-            held = held.iloc[end:].reset_index(drop=True)
+        for part in _groups(batches):
+            comp, size = part["component"].to_numpy(), part["size"].to_numpy()
+            low = np.frombuffer(b"".join(part["low"]), np.uint8).reshape(len(part), -1)
+            keep = np.zeros(len(part), bool)
+            for k, others in _meetings(part):
+                near = (comp[others] != comp[k]) & (likely(low[k], size[k], low[others], size[others], similarity) > 0)
+                keep[others] |= near
+                keep[k] |= near.any()
+            if keep.any():
+                yield part.loc[keep, ["key", "i", "j", "block", "component", "node"]]
 
     return run
 
 
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of each of the other sorted sets, none of them empty, are in the one."""
+    flat = np.concatenate(others)
+    hit = one.take(np.searchsorted(one, flat), mode="clip") == flat
+    return np.add.reduceat(hit, np.r_[0, np.cumsum([len(x) for x in others])[:-1]], dtype=np.int64)
+
+
+def _joined(similarity: float):
+    """Verified links that join components: every likely pair of a pair of blocks is verified, or was joined by other links before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _groups(batches):
+            node, comp = part["node"].to_numpy(), part["component"].to_numpy().copy()
+            sets = [np.frombuffer(x, np.uint64) for x in part["found"]]
+            size = np.array([len(x) for x in sets])
+            low = np.frombuffer(b"".join(map(sketch, sets)), np.uint8).reshape(len(part), -1)
+            made = []
+            for k, others in _meetings(part):
+                share = likely(low[k], size[k], low[others], size[others], similarity)
+                near = others.start + np.argsort(-share, kind="stable")[: np.count_nonzero(share)]
+                while len(near := near[comp[near] != comp[k]]):
+                    now, near = near[:PARTNERS], near[PARTNERS:]
+                    both = _shared(sets[k], [sets[x] for x in now])
+                    for x in now[both / (size[k] + size[now] - both) >= similarity]:
+                        if comp[x] != comp[k]:
+                            made.append((min(node[k], node[x]), max(node[k], node[x])))
+                            comp[comp == comp[x]] = comp[k]
+            if made:
+                yield pd.DataFrame(made, columns=["a", "b"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "found": [shingles(t, width).tobytes() for t in pdf["text"]]})
+
+    return run
+
+
+def _joining(members: DataFrame, parts: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) after which no two likely partners of a bucket lie in different components, unless their texts differ too much.
+
+    A bucket above BLOCK members is dealt into blocks, and each two of them meet. What
+    is put out are members and the links that join components, never all pairs: no more rows than were read.
+    """
+    n = n_partitions(nodes.sparkSession)
+    placed = materialise(members.select("key", "node", "size").join(parts.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component")), "placed")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), blocks).where("x <> y").select("key", "blocks")
+    own = placed.join(mixed.hint("merge"), "key").join(nodes.select("node", "low").hint("merge"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    met = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = met.select("key", "i", "j", "block", "component", "node", "low", "size").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    kind = "key long, i int, j int, block int, component long, node long"
+    flagged = materialise(dealt.mapInPandas(_flagged(similarity), kind), "flagged")
+    sets = materialise(texts.join(flagged.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "text").mapInPandas(_sets(width), "node long, found binary"), "sets")
+    again = flagged.join(sets.hint("merge"), "node").select("key", "i", "j", "block", "component", "node", "found").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = materialise(again.mapInPandas(_joined(similarity), "a long, b long").distinct(), "joining")
+    release(placed, flagged, sets)
+    return found
+
+
 def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     """Pairs (a, b) of nodes whose fingerprints SimHash links: each with the first of its fingerprint, and the firsts of linked ones."""
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "distinct")
@@ -164,7 +246,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     Every link is verified on the texts. Compared are the pairs that SimHash links, by the
     probes of unequal thresholds, up to ``distance`` bits, and, as that many bits can't reach all texts of the similarity,
     each member of a MinHash bucket with two others of it, the smallest and the one in most company; then, where that left a bucket in several
-    components, members with their likeliest partners in other components by sketches, in rounds, the last with all that are likely.
+    components, members with all their likely partners in other components by sketches, inside the tasks that hold their shingles.
     """
     # Columns of docs stay in a struct, so that none can clash with the row's number.
     rows = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")), "rows")
@@ -178,7 +260,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     nodes = materialise(named.select(F.col("who.row").alias("node"), "who", "fp", "bands", "low", "size"), "nodes")
     texts = rows.select(F.col("_row").alias("node"), utf8("doc.text").alias("text"))
 
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    keys = nodes.select("node", "size", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = materialise(keys.join(pivots.hint("merge"), "key"), "members")
     # The text from which copies were made shares more buckets with them than they share with each other.
@@ -191,24 +273,9 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     verified = _verified(tried, texts, width, similarity)
 
     parts = materialise(connected_components(verified), "components")
-    for partners in PARTNERS:
-        placed = materialise(members.select("key", "node").join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        mixed = materialise(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        left = placed.join(mixed.hint("merge"), "key", "left_semi").join(nodes.select("node", "low", "size").hint("merge"), "node")
-        dealt = left.repartition(n_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-        found = materialise(dealt.select("key", "node", "component", "low", "size").mapInPandas(_cross_pairs(similarity, partners), "a long, b long").distinct(), "likely")
-        if found.isEmpty():
-            break
-        more = materialise(found.join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
-        release(placed, mixed, found)
-        if more.isEmpty():
-            # All partners of this round were tried; the next one takes more.
-            continue
-        tried, verified = tried.union(more), verified.union(_verified(more, texts, width, similarity))
-        parts = materialise(connected_components(verified), "components")
+    more = _joining(members, parts, nodes, texts, width, similarity)
+    if not more.isEmpty():
+        parts = materialise(connected_components(verified.union(more)), "components")
     groups = nodes.select("node", "who").join(parts.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("who").alias("who"))
     stay = materialise(groups.select(F.col("who.row").alias("_row")), "stay")
     release(signed, nodes, members)
