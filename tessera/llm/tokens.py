@@ -377,6 +377,14 @@ def _strings(x: pa.Array) -> list[str]:
     return x.to_numpy(zero_copy_only=False).tolist()
 
 
+def _copied(x: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Runs of x, which lie one behind the other and are of these sizes, in the order of the numbers given."""
+    many = size.take(number)
+    at = np.repeat((np.cumsum(size) - size).take(number) - np.cumsum(many) + many, many)
+    at += np.arange(len(at))
+    return x.take(at)
+
+
 class _Tokenizer:
     """Ids of texts as little-endian bytes; distinct pieces of texts are tokenized once and remembered, where that can't change the ids."""
 
@@ -447,31 +455,36 @@ class _Tokenizer:
         return np.concatenate(bodies), np.cumsum([len(x) for x in bodies])
 
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Texts are cut before spaces and around line ends; each distinct word is looked up, its letters and the signs behind them apart."""
+        """Texts are cut before spaces and around line ends; of each distinct word, the letters and the signs behind them are looked up apart."""
         cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
         words = cut.flatten().dictionary_encode()
         distinct = words.dictionary
         stems = pc.ascii_rtrim(distinct, characters=_SIGNS)
         lettered = pc.match_substring_regex(stems, _LETTERS) if self.by_letters else pa.array(np.zeros(len(stems), bool))
-        whole, begin = _strings(distinct), _strings(pc.if_else(lettered, stems, distinct))
-        end = [w[len(x) :] for w, x in zip(whole, begin, strict=True)]
+        begin = pc.if_else(lettered, stems, distinct)
+        ended = np.flatnonzero(pc.binary_length(distinct).to_numpy() > pc.binary_length(begin).to_numpy())
+        ends = [w[len(x) :] for w, x in zip(*(_strings(y.take(pa.array(ended))) for y in (distinct, begin)), strict=True)]
+        signs = list({"": None} | dict.fromkeys(ends))
+        begin = begin.dictionary_encode()
+        pieces = _strings(begin.dictionary)
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
         self.known["\n"], self.known[""] = self.newline.to_bytes(4, "little"), b""
-        others = set(end).union(_strings(distinct.filter(pc.invert(lettered))))
+        others = set(signs).union(_strings(distinct.filter(pc.invert(lettered))))
         self.learn([w for w in others if w not in self.known])
-        self.learn_letters([w for w in set(begin).difference(others) if w not in self.known])
-        found = [*map(self.known.__getitem__, begin)], [*map(self.known.__getitem__, end)]
-        held = np.frombuffer(b"".join(itertools.chain.from_iterable(zip(*found, strict=True))), "<u4")
-        size = sum(np.fromiter(map(len, x), np.int64, len(x)) for x in found) >> 2
-        # Each word's ids are copied from where its distinct word's begin.
-        number = words.indices.to_numpy()
-        many = size.take(number)
-        ends = np.cumsum(many)
-        at = np.repeat((np.cumsum(size) - size).take(number) - ends + many, many)
-        at += np.arange(len(at))
+        self.learn_letters([w for w in pieces if w not in self.known and w not in others])
+        found = [*map(self.known.__getitem__, pieces), *map(self.known.__getitem__, signs)]
+        held = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        # What each distinct word begins and ends with, then the words of the texts.
+        both = np.full((len(distinct), 2), len(pieces))
+        both[:, 0] = begin.indices.to_numpy()
+        place = {x: k for k, x in enumerate(signs, len(pieces))}
+        both[ended, 1] = [place[x] for x in ends]
+        held, size = _copied(held, size, both.ravel()), size.take(both).sum(axis=1)
+        number = words.indices.to_numpy().astype(np.int64)
         last = np.cumsum(pc.list_value_length(cut).to_numpy())
-        return held.take(at), np.r_[0, ends].take(last)
+        return _copied(held, size, number), np.r_[0, np.cumsum(size.take(number))].take(last)
 
 
 @functools.cache
