@@ -24,7 +24,7 @@ from tessera.llm.tokens import by_words
 #: Pair keys that a task merges at a time, distinct pairs that it holds at most, and rows of a sorted range about.
 MERGED, HELD, RANGE_ROWS = 4_000_000, 8_000_000, 2_000_000
 #: Characters that are tokenized together, distinct stretches that a Python worker remembers at most, and characters of one that is worth it.
-GROUP_CHARS, KNOWN, WORTH = 1_000_000, 150_000, 64
+GROUP_CHARS, KNOWN, WORTH = 1_000_000, 400_000, 64
 #: Where no token of either tokenizer goes on: before a space after what isn't white space. A text's last space stays where it is, for B has no token for it alone.
 _BREAK, _LOOSE = re.compile(r"(?s)(?<=\S)(?= .)"), re.compile(r"\s |\0| \Z")
 #: Stretches that may be tokenized in one go with a line end between them, which then is a token of its own.
@@ -82,7 +82,7 @@ class Pair:
         newline = self.a.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if by_words(self.a) and len(newline) == 1 else None
         self.cut = by_words(self.a) and not any(re.search("[^▁]▁", p) for p in pieces)
-        #: By stretch: ids of A and of B, groups, links, the links' keys (int64), and the groups as text, with a semicolon after each.
+        #: By stretch: the numbers of ids of A and of B, of groups and of links (int64 each), the links' keys (int64), and the groups as text, with a semicolon after each.
         self.known: dict[str, tuple | None] = {}
 
     def stretches(self, text: str) -> list[str]:
@@ -126,9 +126,11 @@ class Pair:
     def _align(self, parts: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, size: np.ndarray) -> None:
         """All stretches at once, one behind the other: each end of a token of A or B ends one link, each end of both one group."""
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        ends = np.union1d(a_ends, b_ends)
+        every = np.concatenate([a_ends, b_ends])
+        every.sort(kind="stable")
+        again = every[1:] == every[:-1]
+        ends, both = every[np.r_[True, ~again]], every[1:][again]
         keys = a[np.searchsorted(a_ends, ends)] * self.n_b + b[np.searchsorted(b_ends, ends)]
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
         # The groups as text: each token's number with the sign behind it, A's before B's in every group.
         a_of, b_of = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
         shut = [np.r_[of[1:] != of[:-1], True] for of in (a_of, b_of)]
@@ -137,10 +139,10 @@ class Pair:
         last = np.cumsum(size)
         link_at, group_at, text_at = np.searchsorted(ends, last, "right"), np.searchsorted(both, last, "right"), np.cumsum(n_a + n_b).tolist()
         body, link_ends = keys.tobytes(), (link_at * 8).tolist()
-        counts = zip(n_a.tolist(), n_b.tolist(), np.diff(group_at, prepend=0).tolist(), np.diff(link_at, prepend=0).tolist(), strict=True)
+        counts = np.stack([n_a, n_b, np.diff(group_at, prepend=0), np.diff(link_at, prepend=0)], axis=1).astype(np.int64).tobytes()
         link, at = 0, 0
-        for p, four, n, end in zip(parts, counts, link_ends, text_at, strict=True):
-            self.known[p] = (*four, body[link:n], "".join(text[at:end]))
+        for k, (p, n, end) in enumerate(zip(parts, link_ends, text_at, strict=True)):
+            self.known[p] = (counts[32 * k : 32 * k + 32], body[link:n], "".join(text[at:end]))
             link, at = n, end
 
     def documents(self, texts: Sequence[str | None]) -> Iterator[tuple]:
@@ -156,11 +158,12 @@ class Pair:
                 yield 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
                 continue
             n = np.fromiter(times.values(), np.int64, len(times))
-            sums = (n @ np.array([f[:4] for f in found], np.int64)).tolist()
-            links = np.frombuffer(b"".join([f[4] for f in found]), np.int64)
+            four = np.frombuffer(b"".join([f[0] for f in found]), np.int64).reshape(-1, 4)
+            sums = (n @ four).tolist()
+            links = np.frombuffer(b"".join([f[1] for f in found]), np.int64)
             keys, of = np.unique(links, return_inverse=True)
-            many = np.bincount(of, np.repeat(n, [f[3] for f in found]), len(keys)).astype(np.int64)
-            text = "".join([self.known[p][5] for p in parts])[:-1]
+            many = np.bincount(of, np.repeat(n, four[:, 3]), len(keys)).astype(np.int64)
+            text = "".join([self.known[p][2] for p in parts])[:-1]
             yield *sums, hashlib.sha256(text.encode()).hexdigest(), keys, many
         if len(self.known) > KNOWN:
             self.known.clear()

@@ -204,3 +204,11 @@ def test_topk_of_large_components_few_and_no_rows(spark):
     assert topk.exact_topk(few, F.lit(False)).count() == 0
     with pytest.raises(OverflowError):
         topk.exact_topk(vectors(spark, [(1, [1e12]), (2, [1e12])]), F.lit(True))
+
+
+def test_stretches_of_many_texts_are_learnt_once(monkeypatch):
+    texts = [" ".join(f"w{k}x" for k in range(at, at + 16_000)) for at in range(0, 160_000, 16_000)]
+    pair = alignment.Pair(A, B)
+    first = [(*x[:5], x[5].tobytes(), x[6].tobytes()) for x in pair.documents(texts)]
+    monkeypatch.setattr(pair, "learn", lambda parts: pytest.fail("learnt again"))
+    assert [(*x[:5], x[5].tobytes(), x[6].tobytes()) for x in pair.documents(texts)] == first
